@@ -1,10 +1,58 @@
-"""Corpus pipeline: stages over documents, each written and read again before the next."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again before the next.
+
+All but the last return the columns of ``documents``; the last returns a row for each packed piece
+with its ids. Labels for the toxicity model come from the input folder.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from obsmill.llm import ngram_join, packing, secret_scan, substring_dedup, toxicity
+from obsmill.llm.common import Scratch, read, ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.keep_one(docs)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring_dedup.remove_repeats(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return secret_scan.redact_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", remove_repeated_passages),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack),
+]
+
+#: No SQL engine here has the tokenizer or the model; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
