@@ -32,6 +32,8 @@ from obsmill.llm.components import components
 EXACT = 0.9
 #: MinHash bands and rows: a pair at 0.8 is missed with probability (1 - 0.8**3)**12, two in ten thousand.
 BANDS, ROWS = 12, 3
+#: Tokens of a group's union that are held in one row at most.
+UNION = 65_536
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -138,8 +140,11 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
     near = near.join(sizes.toDF("ga", "ca"), "ga").join(sizes.toDF("gb", "cb"), "gb").select(F.expr("if(ca <= cb, ga, gb)").alias("g"), F.expr("if(ca <= cb, gb, ga)").alias("other"))
     asked = scratch.save(rest.select("id", "g").join(near, "g").select("id", "other"))
     union = tokens.select("g", "token").join(asked.select(F.col("other").alias("g")).distinct(), "g", "left_semi").distinct()
-    bound = asked.join(tokens.select("id", "n", "token"), "id").join(union.select(F.col("g").alias("other"), "token"), ["other", "token"]).groupBy("id", "n", "other").agg(F.count("*").alias("c"))
-    opened = bound.where(f"100 * c >= {p} * n").select("id", "other")
+    # a union of more tokens than a row should hold doesn't bound; its group is opened
+    held = union.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") <= UNION)
+    unions = union.join(held, "g", "left_semi").groupBy(F.col("g").alias("other")).agg(F.collect_list("token").alias("union"))
+    bound = asked.join(rest.select("id", "tokens"), "id").join(unions, "other", "left")
+    opened = bound.where(f"union IS NULL OR 100 * size(array_intersect(tokens, union)) >= {p} * size(tokens)").select("id", "other")
     x, y = prefix.alias("x"), prefix.alias("y")
     pairs = opened.alias("o").join(x, F.expr("o.id = x.id")).join(y, F.expr(f"x.token = y.token AND o.other = y.g AND {within}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return _verify(pairs, sets, p)
