@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with ``QUERIES`` (name to query) and ``SQL`` (name to oracle).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("observations",)
+
+
+def _plain(query: Query) -> Query:
+    """Dates as text: engines hand them to Python as different types."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return {name: query for m in MODULES for name, query in import_module(f"obsmill.plans.{m}").QUERIES.items()}
+    return {name: _plain(query) for m in MODULES for name, query in import_module(f"obsmill.plans.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
