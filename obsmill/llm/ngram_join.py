@@ -13,6 +13,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,9 @@ from obsmill.llm.common import U64, Scratch, checked_broadcast, mix, offsets_lis
 from obsmill.llm.components import components
 
 
+Cut = Callable[[pa.RecordBatch], Iterable[tuple[pa.Array, pa.Array]]]
+
+
 def _sets(column: pa.Array, k: int):
     """Some rows at a time: their number, and their sorted sets."""
     data, at = raw(column)
@@ -40,17 +45,26 @@ def _class(s: np.ndarray) -> int:
     return int(mix(mix(both[:1] + U64(len(s))) ^ both[1:]).view(np.int64)[0])
 
 
-def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per row: id_col, n_shingles, component_id (the smallest id that links reach, its own included)."""
+def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", cut: Cut | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id (the smallest id that links reach, its own included).
+
+    cut makes parts of rows, within the tasks that read them: it turns a batch (ids, texts) into
+    batches (parts' ids, texts). A part's id is struct<doc, start, end>, doc being the row's id; the
+    result then has a row for each part, and id_col and component_id are such ids.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    whole = "doc"
+    if cut:
+        kind, whole = f"struct<doc: {kind}, start: int, `end`: int>", "doc.doc"
+    split = cut or (lambda b: [(b.column(0), b.column(1))])
     source = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     parts = threshold >= similar.EXACT
 
     def describe(batches):
-        for b in batches:
+        for ids, column in (x for b in batches for x in split(b)):
             at = 0
-            for n, sets in _sets(b.column(1), k):
+            for n, sets in _sets(column, k):
                 if parts:
                     keys = similar.part_signatures(sets, threshold)
                 else:
@@ -58,16 +72,14 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
                     bands = iter(similar.band_signatures(np.concatenate(full), np.cumsum([0, *map(len, full)])) if full else ())
                     keys = [next(bands) if len(s) else s for s in sets]
                 to = np.cumsum([0, *map(len, keys)])
-                yield pa.record_batch([b.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), offsets_list(signed(np.concatenate(keys)), to)], ["doc", "n", "id", "keys"])
+                yield pa.record_batch([ids.slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), offsets_list(signed(np.concatenate(keys)), to)], ["doc", "n", "id", "keys"])
                 at += n
 
     def tokens(batches):
-        for b in batches:
-            at = 0
-            for n, sets in _sets(b.column(1), k):
+        for _, column in (x for b in batches for x in split(b)):
+            for _, sets in _sets(column, k):
                 some = np.concatenate(sets)
                 yield pa.record_batch([pa.array([_class(s) for s in sets], pa.int64()), offsets_list(signed(some), np.cumsum([0, *map(len, sets)]))], ["id", "tokens"])
-                at += n
 
     described = scratch.save(source.mapInArrow(describe, f"doc {kind}, n long, id long, keys array<long>"))
     classes = scratch.save(described.where("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("c")))
@@ -76,7 +88,7 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
         wanted = scratch.save(ids.join(classes, "id").select("id", "doc"))
         rows = wanted.count()
         # a class whose rows all lack an id is found among those
-        some = source.join(checked_broadcast(wanted.select(F.col("doc").alias("d")).distinct(), rows), F.expr("doc <=> d"), "left_semi")
+        some = source.join(checked_broadcast(wanted.select(F.col(whole).alias("d")).distinct(), rows), F.expr("doc <=> d"), "left_semi")
         return some.mapInArrow(tokens, "id long, tokens array<long>").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
     # one row of each class brings the signatures

@@ -82,23 +82,21 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, step: int = S
     pieces = source.mapInArrow(cut, f"doc {kind}, key long, start int, `end` int")
     pieces = pieces.select("doc", "start", "end", F.min("doc").over(by_key).alias("keeper"), F.max("doc").over(by_key).alias("last")).where("keeper <> last").drop("last")
 
-    def paragraphs(batches):
-        for b in batches:
-            for i, some in parts(b.column(1)):
-                row, start, text = [], [], []
-                for k, x in enumerate(some, i):
-                    at = 0
-                    for line in x.split("\n"):
-                        if len(line) >= 2 * min_words - 1 and len(line.split()) >= min_words:
-                            row.append(k)
-                            start.append(at)
-                            text.append(line)
-                        at += len(line) + 1
-                place = pa.StructArray.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array([s + len(t) for s, t in zip(start, text, strict=True)], pa.int32())], ["doc", "start", "end"])
-                yield pa.record_batch([place, pa.array(text, pa.string())], ["place", "text"])
-
-    lines = source.mapInArrow(paragraphs, f"place struct<doc: {kind}, start: int, `end`: int>, text string")
-    clusters = join_documents(lines, k=5, threshold=threshold, id_col="place", scratch=scratch).select("place", "component_id")
+    def paragraphs(b):
+        for i, some in parts(b.column(1)):
+            row, start, text = [], [], []
+            for k, x in enumerate(some, i):
+                at = 0
+                for line in x.split("\n"):
+                    if len(line) >= 2 * min_words - 1 and len(line.split()) >= min_words:
+                        row.append(k)
+                        start.append(at)
+                        text.append(line)
+                    at += len(line) + 1
+            ends = pa.array([s + len(t) for s, t in zip(start, text, strict=True)], pa.int32())
+            yield pa.StructArray.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), ends], ["doc", "start", "end"]), pa.array(text, pa.string())
+
+    clusters = join_documents(source, k=5, threshold=threshold, id_col="doc", cut=paragraphs, scratch=scratch).select(F.col("doc").alias("place"), "component_id")
     met = clusters.groupBy("component_id").agg(F.max("place.doc").alias("last")).where("component_id.doc <> last").select("component_id", F.col("component_id.doc").alias("keeper"))
     similar = clusters.join(met, "component_id").select("place.doc", "place.start", "place.end", "keeper")
 
