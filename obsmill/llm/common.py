@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised passes hold at a time; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Rows up to which a key set may be broadcast (about 64 bytes a row once hashed); above, joins shuffle.
 BROADCAST_ROWS = 500_000
 

@@ -29,6 +29,8 @@ from obsmill.llm.common import U64, Scratch, hash_spans, mix, parts, raw, slices
 from obsmill.llm.ngram_join import join_documents
 
 MIN_WORDS, STEP = 36, 15
+#: Bytes of text at a time where each word brings STEP values.
+SLICE = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _TOP = U64(2**64 - 1)
@@ -70,7 +72,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, step: int = S
     def cut(batches):
         for b in batches:
             data, at = raw(b.column(1))
-            for i, j in slices(at):
+            for i, j in slices(at, SLICE):
                 low, start, end, first = spans(data, at, i, j)
                 found, key = windows(hash_spans(low, start, end - start), first, min_words, step)
                 row = np.searchsorted(first, found, side="right") - 1
