@@ -48,7 +48,7 @@ VIEWS = {
     "place": """
         SELECT concat('k', s_suppkey % 4) AS kind, s_name AS name, 36 + (s_suppkey * 6007 % 1000) / CAST(1000 AS DOUBLE) AS lat, 51 + (s_suppkey * 7001 % 1000) / CAST(1000 AS DOUBLE) AS lon FROM {supplier}""",
     "gold": """
-        SELECT p_partkey AS id, round((p_partkey * 37 % 2000) / CAST(200 AS DOUBLE) - 3, 2) AS score, p_partkey % 9 <> 0 AS blocked, concat('s', p_partkey % 4) AS stratum, CAST(100 * (1 + p_partkey % 4) AS BIGINT) AS size,
+        SELECT p_partkey AS id, (p_partkey * 37 % 2000) / CAST(256 AS DOUBLE) - 3 AS score, p_partkey % 9 <> 0 AS blocked, concat('s', p_partkey % 4) AS stratum, CAST(100 * (1 + p_partkey % 4) AS BIGINT) AS size,
             CASE WHEN p_partkey % 10 = 3 THEN 'unsure' WHEN (p_partkey * 37 % 2000 + p_partkey * 13 % 900) > 1500 THEN 'match' ELSE 'non_match' END AS label
         FROM {part}""",
 }

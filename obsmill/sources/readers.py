@@ -83,12 +83,15 @@ def pushed_chunks(html: str, function: str = "self.__next_f.push") -> str:
     return "".join(out)
 
 
-@F.pandas_udf("array<string>")
-def page_objects(html: pd.Series) -> pd.Series:
-    """JSON objects in what a page pushes, or in the page where it pushes nothing."""
+def _page_objects(html: pd.Series) -> pd.Series:
     return pd.Series([list(json_objects(pushed_chunks(x) or x)) if x else [] for x in html])
 
 
+def page_objects(html: Column) -> Column:
+    """JSON objects in what a page pushes, or in the page where it pushes nothing."""
+    return F.pandas_udf(_page_objects, "array<string>")(html)
+
+
 def config_table(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None) -> DataFrame:
     """A small TOML, JSONL or CSV file read on the driver."""
     p = Path(path)
