@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
-import sys
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -79,12 +79,12 @@ class Scratch:
         self._remove(df._scratch_path)
 
     def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception as e:  # the driver's JVM may have gone first
-            print(f"scratch table {path} not removed: {e}", file=sys.stderr)
+        sc = self.spark.sparkContext
+        if sc._jsc is None:  # the session has ended; what is local can still go
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+            return
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:

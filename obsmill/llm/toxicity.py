@@ -34,6 +34,8 @@ BUCKETS = 1 << 19
 STEMS = (4, 5)
 #: Fitting: least sample texts with a feature, L1 penalty, steps.
 LEAST, PENALTY, STEPS = 3, 5e-4, 150
+#: Standard deviations by which a feature's texts must be labelled more often than others.
+SURE = 3.5
 #: Log odds of a word that marks a labelled text.
 STRONG = 2.5
 
@@ -79,10 +81,13 @@ def _distinct(bucket: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def fit_rows(index: np.ndarray, to: np.ndarray, label: np.ndarray) -> Model:
     """Fits on rows of distinct features index[to[i]:to[i + 1]]; label is a grade."""
-    df = np.bincount(index, minlength=BUCKETS)
-    used = np.flatnonzero(df >= LEAST)
     row = np.repeat(np.arange(len(label)), np.diff(to))
-    keep = df[index] >= LEAST
+    df = np.bincount(index, minlength=BUCKETS)
+    share = (label > 0).mean()
+    sure = np.bincount(index, label[row] > 0, BUCKETS) - df * share >= SURE * np.sqrt(df * share * (1 - share))
+    sure &= df >= LEAST
+    used = np.flatnonzero(sure)
+    keep = sure[index]
     index, row = np.searchsorted(used, index[keep]), row[keep]
     if label.max() == 1:
         hit = np.bincount(index, label[row], len(used))
