@@ -4,8 +4,9 @@
    pigeonhole principle and miss nothing: two sets of Jaccard similarity t or more differ in so few
    tokens that, with tokens dealt into one part more than that by hash, one part is equal; sizes are
    grouped so that similar sets are in one group or in neighbours. Below, from MinHash bands.
-2. Stars. Each set is compared with the smallest id under each of its signatures only, so a
-   signature with n sets gives n pairs. Verified pairs make components; these are the groups.
+2. Stars. Under each signature the sets are compared with one of them only, that which shares most
+   signatures with others, so a signature with n sets gives n pairs. Verified pairs make
+   components; these are the groups.
 3. Token-group matrix. Where a signature still holds several groups, each group's tokens are stored
    once (the union over its sets). Queries meet groups over the rarest tokens alone (a set's first
    tokens by rising frequency, of which similar sets share one), with bounds by size and position;
@@ -34,6 +35,8 @@ EXACT = 0.9
 BANDS, ROWS = 12, 3
 #: Tokens of a group's union that are held in one row at most.
 UNION = 65_536
+#: Sets of a group that a query is compared with without looking for a shared rare token first.
+FEW = 4
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -108,11 +111,14 @@ def links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], thresh
     """
     p = percent(threshold)
     by_key = W.partitionBy("key")
-    shared = signatures.select("key", "id", F.min("id").over(by_key).alias("lead"), F.max("id").over(by_key).alias("last")).where("lead <> last")
-    shared = scratch.save(shared.select("key", "id", "lead"))
-    # every id under a shared signature, the leads too
+    ends = signatures.select("key", "id", F.min("id").over(by_key).alias("lo"), F.max("id").over(by_key).alias("hi"), F.count("*").over(by_key).alias("c")).where("lo <> hi")
+    shared = scratch.save(ends.select("key", "id", "c"))
     sets = scratch.save(fetch(shared.select("id").distinct()))
-    stars = _verify(shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), sets, p)
+    # the set that shares most signatures with most others is the middle of its neighbourhood
+    central = shared.groupBy("id").agg(F.sum("c").alias("w"))
+    leads = shared.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("w", "id")).alias("lead"))
+    pairs = shared.join(leads, "key").where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
+    stars = _verify(pairs.distinct(), sets, p)
     stars = scratch.save(stars)
     groups = scratch.save(components(stars, scratch))
     grouped = shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
@@ -145,6 +151,10 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
     unions = union.join(held, "g", "left_semi").groupBy(F.col("g").alias("other")).agg(F.collect_list("token").alias("union"))
     bound = asked.join(rest.select("id", "tokens"), "id").join(unions, "other", "left")
     opened = bound.where(f"union IS NULL OR 100 * size(array_intersect(tokens, union)) >= {p} * size(tokens)").select("id", "other")
+    opened = scratch.save(opened.join(sizes.toDF("other", "c"), "other"))
+    # the few sets of a small group are all compared; of a large one those that share a rare token
+    few = opened.where(F.col("c") <= FEW).join(rest.select(F.col("g").alias("other"), F.col("id").alias("b")), "other").select(F.col("id").alias("a"), "b")
     x, y = prefix.alias("x"), prefix.alias("y")
-    pairs = opened.alias("o").join(x, F.expr("o.id = x.id")).join(y, F.expr(f"x.token = y.token AND o.other = y.g AND {within}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    many = opened.where(F.col("c") > FEW).alias("o").join(x, F.expr("o.id = x.id")).join(y, F.expr(f"x.token = y.token AND o.other = y.g AND {within}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = few.union(many).distinct()
     return _verify(pairs, sets, p)
