@@ -76,7 +76,7 @@ class Lines(HTMLParser):
         return False
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not self.hidden
         if tag in VOID_TAGS:
             if tag in BLOCK_TAGS:
                 self.end_line()
@@ -118,7 +118,7 @@ class Lines(HTMLParser):
         del self.stack[k:]
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self.hidden
         if tag in BLOCK_TAGS:
             self.end_line()
         for k in range(len(self.stack) - 1, -1, -1):
@@ -174,9 +174,9 @@ def main_text(html: str) -> str:
     total = sum(len(x[0]) for x in chosen)
     weight: dict[int, int] = {}
     for text, _, _, path in chosen:
-        for e in path:
+        for e in path[:-1] or path:  # not the line's own element
             weight[e] = weight.get(e, 0) + len(text)
-    mains = [e for e in parser.mains if weight.get(e)]
+    mains = [e for e in parser.mains if weight.get(e) or any(e in path for _, _, _, path in chosen)]
     if mains and sum(len(t) for t, _, _, path in chosen if not parser.mains.isdisjoint(path)) >= total / 2:
         region = set(mains)
         return "\n".join(text for text, _, _, path in lines if not region.isdisjoint(path))

@@ -24,4 +24,4 @@ def matrix(column: pa.Array) -> np.ndarray:
 def sample_rows(vectors: DataFrame, id_col: str, vector_col: str, n: int) -> np.ndarray:
     """At most n vectors, those of the least hashed ids, to fit a model on."""
     rows = vectors.select(F.xxhash64(id_col).alias("h"), F.col(vector_col).alias("v")).orderBy("h", "v").limit(n).collect()
-    return np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.float64) if rows else np.zeros((0, 0))
