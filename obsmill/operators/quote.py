@@ -28,7 +28,8 @@ def quote_stays(listings: DataFrame, observations: DataFrame, requests: DataFram
     """
     asked = requests.withColumn("nights", F.datediff("check_out", "check_in"))
     wanted = asked.select("request", "check_in", F.explode(F.sequence("check_in", F.date_sub("check_out", 1))).alias("night"))
-    newest = latest(observations, ["listing", "night"], order)
+    # one shuffle by listing serves the newest nights, the join with listings and the sums
+    newest = latest(observations.repartition("listing"), ["listing", "night"], order)
     used = newest.join(F.broadcast(wanted), "night")  # requests are scenarios, a handful of rows
     card = listings.select("listing", "base", "weekend", "holiday", "extra_base", "extra_weekend", "extra_holiday", "base_capacity")
     used = used.join(card, "listing").join(F.broadcast(asked.select("request", "guests")), "request")
@@ -91,12 +92,12 @@ def price_gaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.expr("CASE WHEN la < lb THEN pa WHEN lb < la THEN pb END").alias("cheaper"), (F.greatest("la", "lb") / F.least("la", "lb")).alias("ratio"))
 
 
-def gap_summary(gaps: DataFrame, *keys: str) -> DataFrame:
-    """Pairs, interpolated median and index p90 of the ratios (4 places), by the keys."""
+def gap_summary(gaps: DataFrame, *keys: str, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Pairs, interpolated median and index p90 of the ratios (4 places), and extra aggregates, by the keys."""
     spec = W.partitionBy(*keys)
     ranked = gaps.withColumn("__n", F.count("*").over(spec)).withColumn("__rn", F.row_number().over(spec.orderBy("ratio")))
     at = F.least(F.col("__n") - 1, F.floor(F.lit(0.9) * F.col("__n")))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("pairs"), F.round(F.percentile("ratio", 0.5), 4).alias("median_ratio"), F.round(F.max(F.when(F.col("__rn") - 1 == at, F.col("ratio"))), 4).alias("p90_ratio"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("pairs"), F.round(F.percentile("ratio", 0.5), 4).alias("median_ratio"), F.round(F.max(F.when(F.col("__rn") - 1 == at, F.col("ratio"))), 4).alias("p90_ratio"), *extra)
 
 
 def compare_nights(a: DataFrame, b: DataFrame, keys: list[str], max_gap_s: float) -> DataFrame:

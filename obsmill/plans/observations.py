@@ -257,8 +257,7 @@ def price_gap(spark, sf):
 @query(f"""{_QUOTE_SQL}{_PAIRS} SELECT request, count(*) AS pairs, round(quantile_cont(ratio, 0.5), 4) AS median_ratio,
 round(list_sort(list(ratio))[CAST(least(count(*) - 1, floor(0.9::DOUBLE * count(*))) AS BIGINT) + 1], 4) AS p90_ratio, count(*) FILTER (WHERE cheaper = 'a') AS a_cheaper FROM gap GROUP BY request""")
 def gap_summary(spark, sf):
-    g = _gaps(spark, sf)
-    return quote.gap_summary(g, "request").join(g.groupBy("request").agg(F.count_if(F.col("cheaper") == "a").alias("a_cheaper")), "request")
+    return quote.gap_summary(_gaps(spark, sf), "request", extra=(F.count_if(F.col("cheaper") == "a").alias("a_cheaper"),))
 
 
 @query(f"{_QUOTE_SQL}{_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (WHERE n > 1) AS flips FROM (SELECT villa, count(DISTINCT cheaper) AS n FROM gap GROUP BY villa)")
