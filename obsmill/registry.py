@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with ``QUERIES`` (name to query) and ``SQL`` (name to oracle).
-MODULES: tuple[str, ...] = ("observations", "matching", "search", "relational")
+MODULES: tuple[str, ...] = ("observations", "catalog", "matching", "search", "relational")
 
 
 def _plain(query: Query) -> Query:

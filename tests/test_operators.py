@@ -10,8 +10,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from obsmill.functions import calendar, geo, numbers, numeric, text
-from obsmill.operators import claims, evaluate, graph, match, observe, quote, rank
+from obsmill.functions import calendar, display, geo, numbers, numeric, text
+from obsmill.operators import claims, evaluate, graph, intent, match, observe, quote, rank
 from obsmill.sources import readers
 
 
@@ -260,3 +260,23 @@ def test_readers(spark, tmp_path):
     blob.mkdir()
     (blob / "f").write_bytes(b"abc")
     assert readers.blobs(spark, str(blob)).first()["key"].startswith("ba7816bf")
+
+
+def test_intents_hold_what_was_said():
+    query = "ویلا در رامسر برای چهار نفر زیر 5 میلیون"
+    said = intent.Intent(guest_parts=(4,), budget_toman=5_000_000, basis="per_night", places=("رامسر", "نور"), bedrooms_min=3)
+    assert intent.violations(said, query) == {"bedrooms_min": ["3"], "places": ["نور"]}
+    kept = intent.without_violations(said, query)
+    assert (kept.bedrooms_min, kept.places, kept.guests, kept.budget_toman) == (None, ("رامسر",), 4, 5_000_000)
+    assert intent.stated_basis(kept, query).basis == "unknown" and intent.stated_basis(kept, query + " هر شب").basis == "per_night"
+    unstated = intent.stated_basis(kept, query)
+    assert intent.without(unstated, ["basis:whole_stay", "place:رامسر"]).basis == "whole_stay"
+    assert intent.without(unstated, ["budget", "basis:whole_stay"]).basis == "unknown" and intent.without(unstated, ["guests"]).guests is None
+    assert intent.missing(intent.Intent(party="couple")) == ["dates"] and intent.wants(unstated, 2).guests == 4
+
+
+def test_display(spark):
+    df = spark.createDataFrame([(12_345_670, 12_345_670, 15_300.0, 15_840.0, 1230.0, 1950.0)], "low bigint, high bigint, a double, b double, m double, n double")
+    c = F.col
+    got = df.select(display.toman(c("low"), c("high")), display.minutes_range(c("a"), c("b")), display.metres_range(c("m"), c("n")), display.minutes_range(F.lit(600.0), F.lit(600.0))).first()
+    assert list(got) == ["۱٬۲۳۴٬۵۶۷ تومان", "۴ ساعت و ۱۵ دقیقه تا ۴ ساعت و ۲۵ دقیقه", "۱٫۲ تا ۲ کیلومتر", "حدود ۱۰ دقیقه"]
