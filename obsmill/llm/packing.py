@@ -2,8 +2,9 @@
 
 Bounded-space online best-fit: each task holds at most ``open_bins`` sequences open, in a bitset
 keyed by free space. A piece goes to the open sequence that it fills best; when none fits and all
-places are taken, the fullest closes first. Pieces reach the packer a batch at a time, the longest
-of the batch first. Nothing is shuffled: a piece's sequence and offset are known once it is placed,
+places are taken, the fullest closes first. Pieces reach the packer a window at a time, the longest
+of the window first; a window is about as many pieces as sequences are open, so that those it opens
+stay open for the next one's short pieces. Nothing is shuffled: a piece's sequence and offset are known once it is placed,
 and a sequence is the work of one task, whatever the number of tasks.
 
 Ids come from the ``tokenizers`` library. Text is cut into units after each word, before the white
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 
 from obsmill.llm.common import SLICE_BYTES, hash_spans, raw, slices, texts
 
+#: Pieces that are put in order at a time.
+WINDOW = 2048
 #: Units whose ids a task remembers; then it begins anew.
 MEMORY = 1_500_000
 #: Bytes by kind: 0 ASCII white space, 1 letter, 2 digit, 3 other ASCII, 4 part of another character.
@@ -175,8 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, *, length: int = 2048,
         for b in batches:
             ids = [np.append(x, np.int32(end_id)) for x in units.encode(b.column(1))]
             todo = [(size, row, k, start) for row, x in enumerate(ids) for k, (start, size) in enumerate(pieces(len(x), length))]
-            todo.sort(key=lambda x: (-x[0], x[1], x[2]))
-            for some in (todo[x : x + 2048] for x in range(0, len(todo), 2048)):
+            for some in (sorted(todo[x : x + WINDOW], key=lambda x: (-x[0], x[1], x[2])) for x in range(0, len(todo), WINDOW)):
                 cuts = [ids[row][start : start + size] for size, row, _, start in some]
                 places = [packer.place(size) for size, *_ in some]
                 columns = [
