@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from obsmill.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with ``QUERIES`` (name to query) and ``SQL`` (name to oracle).
 MODULES: tuple[str, ...] = ("observations", "catalog", "matching", "search", "relational")
@@ -16,6 +18,7 @@ def _plain(query: Query) -> Query:
     """Dates as text: engines hand them to Python as different types."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         df = query(spark, sf_dir)
         return df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "date"})
 
