@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from obsmill.llm import ngram_join, packing, secret_scan, substring_dedup, toxicity
-from obsmill.llm.common import Scratch, read, ship
+from obsmill.llm.common import Scratch, read
+from obsmill.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

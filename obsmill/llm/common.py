@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +33,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package when they can't import it from their own path."""
-    root = str(Path(__file__).resolve().parents[2])
-    sc = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_obsmill_shipped", False):
-        return
-    handle, name = tempfile.mkstemp(prefix="obsmill-", suffix=".zip")
-    with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w") as z:
-        for p in sorted(Path(root, "obsmill").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(name)
-    sc._obsmill_shipped = True
-
-
 # ---------------------------------------------------------------- scratch tables
 
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from obsmill.llm import ann, bpe, cover_tree, html_text, ngram_join, packing, secret_scan, substring_dedup, toxicity, url_filter
-from obsmill.llm.common import read, ship
+from obsmill.llm.common import read
+from obsmill.session import ship
 
 #: The dealt rules: host, path prefix, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
