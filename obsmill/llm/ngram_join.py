@@ -103,7 +103,14 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps the document of its smallest id, once."""
+    """The rows of ``docs`` that stay when each component keeps the document of its smallest id.
+
+    A row that is there again with its id and text stays once; rows without an id stay.
+    """
     joined = join_documents(docs, k=k, threshold=threshold, id_col=id_col, text_col=text_col)
     gone = joined.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = joined.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1").select(id_col)
+    left = docs.join(gone, id_col, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return left.select(*docs.columns)
