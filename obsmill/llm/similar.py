@@ -153,19 +153,20 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
     opened = bound.where(f"union IS NULL OR 100 * size(array_intersect(tokens, union)) >= {p} * size(tokens)").select("id", "other")
     opened = scratch.save(opened.join(sizes.toDF("other", "c"), "other"))
 
-    def verified(some: DataFrame) -> DataFrame:
+    def members(some: DataFrame) -> DataFrame:
         # the few sets of a small group are all compared; of a large one those that share a rare token
         few = some.where(F.col("c") <= FEW).join(rest.select(F.col("g").alias("other"), F.col("id").alias("b")), "other").select(F.col("id").alias("a"), "b")
         x, y = prefix.alias("x"), prefix.alias("y")
         many = some.where(F.col("c") > FEW).alias("o").join(x, F.expr("o.id = x.id")).join(y, F.expr(f"x.token = y.token AND o.other = y.g AND {within}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        return _verify(few.union(many).distinct(), sets, p)
+        return few.union(many).groupBy("a", "b").agg(F.count("*").alias("n"))
 
-    # each query opens its largest group first; most others are then linked by way of those
+    # each query meets one set of its largest group first, that which shares most rare tokens; most
+    # groups are then linked, and only those still apart are compared in full
     first = opened.groupBy("id").agg(F.max_by(F.struct("other", "c"), F.struct("c", "other")).alias("m")).select("id", "m.other", "m.c")
-    found = scratch.save(verified(first))
+    best = members(first).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    found = scratch.save(_verify(best, sets, p))
     of = rest.select("id", "g")
     joined = found.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     merged = scratch.save(components(joined, scratch))
-    apart = opened.join(first.select("id", "other"), ["id", "other"], "left_anti").join(of, "id")
-    apart = apart.join(merged.toDF("g", "mg"), "g", "left").join(merged.toDF("other", "mo"), "other", "left").where("coalesce(mg, g) <> coalesce(mo, other)")
-    return found.unionByName(verified(apart.select("id", "other", "c")))
+    apart = opened.join(of, "id").join(merged.toDF("g", "mg"), "g", "left").join(merged.toDF("other", "mo"), "other", "left").where("coalesce(mg, g) <> coalesce(mo, other)")
+    return found.unionByName(_verify(members(apart.select("id", "other", "c")).select("a", "b"), sets, p))
