@@ -244,8 +244,9 @@ _UNIT = "CASE l_partkey % 3 WHEN 0 THEN 'دقیقه' WHEN 1 THEN 'متر' ELSE '
 _CLAIM = f"""SELECT l_orderkey AS listing, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, {_NUMBER} AS n, {_UNIT} AS unit, l_quantity AS q,
     CASE l_suppkey % 5 WHEN 0 THEN concat('زیر ', {_NUMBER}, ' ', {_UNIT}) WHEN 1 THEN concat('بیش از ', {_NUMBER}, ' ', {_UNIT}) WHEN 2 THEN concat({_NUMBER}, ' تا ', ({_NUMBER}) + 10, ' ', {_UNIT}) WHEN 3 THEN concat({_NUMBER}, ' ', {_UNIT}) ELSE 'خیلی نزدیک' END AS value,
     CASE l_linenumber % 5 WHEN 0 THEN 'فاصله تا دریا' WHEN 1 THEN 'مرکز شهر' WHEN 2 THEN 'جنگل و دریا' WHEN 3 THEN 'دریاچه' ELSE 'سوپرمارکت' END AS target, CASE l_orderkey % 3 WHEN 0 THEN 'walk' WHEN 1 THEN 'car' ELSE 'unknown' END AS mode,
-    l_extendedprice / 20 AS near, l_extendedprice / 20 + l_quantity * 20 AS far FROM {{lineitem}} WHERE l_orderkey % 5 = 0"""
-_PARSED = f"""WITH c AS ({_CLAIM.format(lineitem='lineitem')}), s AS (SELECT *, CAST(CASE WHEN unit = 'کیلومتر' THEN 1000 ELSE 1 END AS DOUBLE) AS k, CASE WHEN unit = 'دقیقه' THEN 'minutes' ELSE 'metres' END AS u FROM c),
+    l_extendedprice / 20 AS near, l_extendedprice / 20 + l_quantity * 20 AS far FROM {{lineitem}}"""
+# the oracles read a fifth of the listings; the queries read all
+_PARSED = f"""WITH c AS ({_CLAIM.format(lineitem='lineitem')} WHERE l_orderkey % 5 = 0), s AS (SELECT *, CAST(CASE WHEN unit = 'کیلومتر' THEN 1000 ELSE 1 END AS DOUBLE) AS k, CASE WHEN unit = 'دقیقه' THEN 'minutes' ELSE 'metres' END AS u FROM c),
 p AS (SELECT *, CASE WHEN supp % 5 = 4 THEN NULL ELSE u END AS parsed, CASE supp % 5 WHEN 0 THEN 0 WHEN 1 THEN n * k WHEN 2 THEN n * k WHEN 3 THEN 0 END AS low, CASE supp % 5 WHEN 0 THEN n * k WHEN 2 THEN (n + 10) * k WHEN 3 THEN n * k + greatest(CASE WHEN u = 'minutes' THEN 5 ELSE 50 END, n * k / 2) END AS high,
   CASE line % 5 WHEN 0 THEN 'sea' WHEN 1 THEN 'city_center' WHEN 2 THEN 'other' WHEN 3 THEN 'other' ELSE 'supermarket' END AS kind FROM s),
 r AS (SELECT *, CASE WHEN parsed = 'metres' THEN [low] WHEN mode = 'walk' THEN [low * 40] WHEN mode = 'car' THEN [low * 150] ELSE [low * 40, low * 150] END AS lows, CASE WHEN parsed = 'metres' THEN [high] WHEN mode = 'walk' THEN [high * 100] WHEN mode = 'car' THEN [high * 1000] ELSE [high * 100, high * 1000] END AS highs FROM p),
