@@ -293,14 +293,18 @@ def villa_id(members: Column, salt: Column | None = None) -> Column:
     return F.concat(F.lit("v-"), F.substring(F.sha2(text if salt is None else F.concat(text, F.lit("#"), salt.cast("string")), 256), 1, 12))
 
 
+#: Rows of overlaps that reconcile hands to Python at a time, about.
+GROUP = 50_000
+
+
 def reconcile(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keeps ids: (cluster, villa) of the new clusters, and events (kind, villa, others).
 
     old: villa, id. new: cluster, id. Each old id goes to the new cluster that it shares most with;
     largest overlap first, then old id, then cluster. Assignments depend on one another only within a
-    component of overlaps, so each is one group.
+    component of overlaps, so none is divided.
     """
-    from obsmill.operators.graph import components
+    from obsmill.operators.graph import _cut, components
 
     shared = old.join(new, "id").groupBy("villa", "cluster").agg(F.count("*").alias("n"))
     ends = shared.select(F.concat(F.lit("o:"), F.col("villa").cast("string")).alias("a"), F.concat(F.lit("n:"), F.col("cluster").cast("string")).alias("b"))
@@ -317,7 +321,10 @@ def reconcile(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out.append((r.cluster, r.villa))
         return pd.DataFrame(out, columns=["cluster", "villa"])
 
-    kept = tagged.groupBy("component").applyInPandas(assign, f"cluster {kind}, villa string")
+    # whole components together in groups of bounded size: a call for each of many small ones takes most of the time
+    tagged = _cut(tagged)
+    some = F.pmod(F.xxhash64("component"), F.lit(tagged.count() // GROUP + 1))
+    kept = tagged.groupBy(some).applyInPandas(assign, f"cluster {kind}, villa string")
     members = new.groupBy("cluster").agg(F.collect_list(F.col("id").cast("string")).alias("m"))
     fresh = members.join(kept.select("cluster"), "cluster", "left_anti").select("cluster", F.array(villa_id(F.col("m")), *(villa_id(F.col("m"), F.lit(k)) for k in (1, 2, 3))).alias("names"))
     named = fresh.select("cluster", F.posexplode("names").alias("k", "villa")).join(old.select("villa").distinct(), "villa", "left_anti").groupBy("cluster").agg(F.min_by("villa", "k").alias("villa"))

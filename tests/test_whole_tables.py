@@ -25,6 +25,8 @@ def wanted(sql: str):
 #: Query to the bound in its oracle.
 BOUNDS = {
     **dict.fromkeys(("distance_claim_parse", "claim_verdict", "verdict_report", "claim_coverage", "sea_truth_report"), " WHERE l_orderkey % 5 = 0"),
+    "photo_strength": " WHERE y.owner < 20",
+    "block_union": " WHERE o_orderkey % 9 < 2",
 }
 
 
@@ -34,3 +36,16 @@ def test_reads_every_row(spark, name):
     got = registry.queries()[name](spark, SF).toArrow()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got) == rows(want)
+
+
+def test_photo_evidence_has_all_neighbouring_owners(spark):
+    want = wanted("WITH o AS (SELECT DISTINCT vec_id % 100 AS owner FROM embeddings) SELECT a.owner AS a, b.owner AS b FROM o a JOIN o b ON b.owner = a.owner + 1")
+    got = registry.queries()["photo_evidence"](spark, SF).select("a", "b").toArrow()
+    assert rows(got) == rows(want)
+
+
+def test_reconcile_names_a_villa_for_every_cluster(spark):
+    want = wanted("SELECT DISTINCT CAST((o_orderkey + o_custkey % 2) // 3 AS VARCHAR) AS key FROM orders")
+    got = registry.queries()["reconcile_ids"](spark, SF).where("what = 'villa'").toArrow()
+    assert rows(got.select(["key"])) == rows(want)
+    assert len(set(got["villa"].to_pylist())) == got.num_rows
