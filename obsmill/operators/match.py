@@ -114,6 +114,34 @@ def cosine_topk(vectors: DataFrame, k: int, least: float | None = None, block: i
     return ranked if least is None else ranked.where(F.col("cosine") >= least)
 
 
+def cosine_counts(vectors: DataFrame, block: int = 2048) -> DataFrame:
+    """Pairs of vectors counted by whether their labels are equal and by cosine (6 places): same, cosine, n.
+
+    vectors: id, label, v (one length). Blocks meet blocks, and a task passes on counts: there are at most
+    two million cosines of 6 places, however many the pairs.
+    """
+    n = max(1, -(-vectors.count() // block))
+    spread = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = vectors.select("id", "label", "v", spread.alias("k"))
+    left = rows.withColumn("i", F.col("k")).withColumn("j", F.explode(F.sequence("k", F.lit(n - 1)))).drop("k")
+    right = rows.withColumn("j", F.col("k")).withColumn("i", F.explode(F.sequence(F.lit(0), "k"))).drop("k")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+            c = np.rint(unit(np.stack(a["v"]).astype(float)) @ unit(np.stack(b["v"]).astype(float)).T * 1e6)
+            same = a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None]
+            once = a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None] if a["i"].iloc[0] == a["j"].iloc[0] else np.full(c.shape, True)
+            for s in (True, False):
+                values, count = np.unique(c[once & (same == s)], return_counts=True)
+                out.append(pd.DataFrame({"same": s, "c": values, "n": count}))
+        return pd.concat(out) if out else pd.DataFrame({"same": [], "c": [], "n": []})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "same boolean, c double, n long")
+    return met.groupBy("same", "c").agg(F.sum("n").alias("n")).select("same", (F.col("c") / 1000000).alias("cosine"), "n")
+
+
 def block_union(sources: DataFrame) -> DataFrame:
     """Pairs with all their blocking sources, without ``wide`` beside another: (a, b, sources). sources: a, b, source."""
     tags = F.sort_array(F.collect_set("source"))

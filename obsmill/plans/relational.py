@@ -109,7 +109,7 @@ def parent_filter(spark, sf):
 @query("SELECT o_orderkey AS id, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT), INTERVAL 1 DAY)) AS DATE) AS night FROM orders WHERE o_orderkey < 2000", dates=("night",))
 def night_expansion(spark, sf):
     d = F.col("o_orderdate").cast("date")
-    return frame(spark, sf, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.explode(calendar.nights(d, F.date_add(d, (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("night"))
+    return frame(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.explode(calendar.nights(d, F.date_add(d, (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("night"))
 
 
 @query("WITH d AS (SELECT DISTINCT o_custkey % 30 AS k, CAST(o_orderdate AS DATE) AS day FROM orders), g AS (SELECT k, day, day - CAST(row_number() OVER (PARTITION BY k ORDER BY day) AS INT) AS i FROM d) SELECT k, min(day) AS first, max(day) AS last, count(*) AS days FROM g GROUP BY k, i", dates=("first", "last"))

@@ -169,7 +169,7 @@ def ablation(spark, sf):
 @query("""WITH c AS (SELECT o_orderkey AS id, o_custkey % 500 AS p, (o_custkey + o_orderkey % 2) % 500 AS g FROM orders WHERE o_orderkey < 3000)
 SELECT round(avg(pr), 9) AS precision, round(avg(re), 9) AS recall FROM (SELECT a.id, count(*) FILTER (WHERE a.p = b.p AND a.g = b.g) / CAST(count(*) FILTER (WHERE a.p = b.p) AS DOUBLE) AS pr, count(*) FILTER (WHERE a.p = b.p AND a.g = b.g) / CAST(count(*) FILTER (WHERE a.g = b.g) AS DOUBLE) AS re FROM c a JOIN c b ON a.p = b.p OR a.g = b.g GROUP BY a.id)""")
 def bcubed(spark, sf):
-    o = frame(spark, sf, "orders").where("o_orderkey < 3000")
+    o = frame(spark, sf, "orders")
     p = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 500).alias("cluster"))
     g = o.select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") + F.col("o_orderkey") % 2) % 500).alias("cluster"))
     got = evaluate.bcubed(p, g)
@@ -237,14 +237,14 @@ def nearest_rank_latency(spark, sf):
 
 @query(f"""{with_views('photo')}, p AS (SELECT x.photo % 10 = y.photo % 10 AS same, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])), 6) AS c FROM photo x JOIN photo y ON x.photo < y.photo WHERE x.photo < 200 AND y.photo < 200), t AS (SELECT round(quantile_cont(c, 0.05), 6) AS t FROM p WHERE same) SELECT t AS threshold, round(count(*) FILTER (WHERE NOT same AND c >= t) / CAST(count(*) FILTER (WHERE NOT same) AS DOUBLE), 6) AS fpr FROM p, t GROUP BY t""")
 def retrieval_fpr(spark, sf):
-    from obsmill.operators.match import cosine
-
-    p = frame(spark, sf, "photo").where("photo < 200")
-    x, y = p.select(F.col("photo").alias("a"), F.col("v").alias("va")), p.select(F.col("photo").alias("b"), F.col("v").alias("vb"))
-    pairs = x.join(y, F.expr("a < b")).select((F.col("a") % 10 == F.col("b") % 10).alias("same"), F.round(cosine(F.col("va"), F.col("vb")), 6).alias("c"))
-    t = pairs.where("same").agg(F.round(F.percentile("c", 0.05), 6).alias("threshold"))
-    both = pairs.join(F.broadcast(t))
-    return both.groupBy("threshold").agg(F.round(F.count_if(~F.col("same") & (F.col("c") >= F.col("threshold"))) / F.count_if(~F.col("same")), 6).alias("fpr"))
+    from obsmill.operators.match import cosine_counts
+
+    p = frame(spark, sf, "photo").select(F.col("photo").alias("id"), (F.col("photo") % 10).alias("label"), "v")
+    pairs = cosine_counts(p)
+    t = pairs.where("same").agg(F.round(F.percentile("cosine", 0.05, F.col("n")), 6).alias("threshold"))
+    both = pairs.join(F.broadcast(t))  # one row
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return both.groupBy("threshold").agg(F.round(n(~F.col("same") & (F.col("cosine") >= F.col("threshold"))) / n(~F.col("same")), 6).alias("fpr"))
 
 
 @query(f"{with_views('gold')} SELECT id, CAST(floor((((row_number() OVER (ORDER BY score DESC, id)) ) * 7 - 1) / CAST((SELECT count(*) FROM gold) AS DOUBLE)) AS INT) AS band FROM gold")

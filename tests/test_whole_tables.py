@@ -6,8 +6,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from obsmill import registry
+from obsmill.operators import match
 from obsmill.plans.surrogate import TABLES
 from tests.test_oracles import SF, rows
 
@@ -27,6 +29,9 @@ BOUNDS = {
     **dict.fromkeys(("distance_claim_parse", "claim_verdict", "verdict_report", "claim_coverage", "sea_truth_report"), " WHERE l_orderkey % 5 = 0"),
     "photo_strength": " WHERE y.owner < 20",
     "block_union": " WHERE o_orderkey % 9 < 2",
+    "bcubed": " WHERE o_orderkey < 3000",
+    "retrieval_fpr": " WHERE x.photo < 200 AND y.photo < 200",
+    "night_expansion": " WHERE o_orderkey < 2000",
 }
 
 
@@ -49,3 +54,17 @@ def test_reconcile_names_a_villa_for_every_cluster(spark):
     got = registry.queries()["reconcile_ids"](spark, SF).where("what = 'villa'").toArrow()
     assert rows(got.select(["key"])) == rows(want)
     assert len(set(got["villa"].to_pylist())) == got.num_rows
+
+
+def test_display_ranges_in_kilometres(spark):
+    got = {r["id"]: r["metres"] for r in registry.queries()["display_ranges"](spark, SF).collect()}
+    assert len(got) == wanted("SELECT * FROM part").num_rows
+    assert got[303] == "۹۰۰ تا ۱٬۰۰۰ متر"
+    assert got[304] == "۰٫۹ تا ۱٫۱ کیلومتر" and got[500] == "۱٫۵ تا ۱٫۶ کیلومتر" and got[1000] == "۳ تا ۳٫۱ کیلومتر"
+
+
+def test_blocks_count_every_pair_once(spark):
+    v = spark.range(23).select("id", (F.col("id") % 3).alias("label"), F.array(*(F.sin(F.col("id") * k).cast("float") for k in (1, 2, 5))).alias("v"))
+    v = v.where("id > 0")
+    one, many = (sorted(tuple(r) for r in match.cosine_counts(v, block).collect()) for block in (2048, 4))
+    assert one == many and sum(r[2] for r in one) == 22 * 21 // 2
