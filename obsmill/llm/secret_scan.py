@@ -7,7 +7,7 @@ fixed patterns' spans stay whatever they cost.
 
 Null and empty texts have no spans; bytes that aren't UTF-8 count as U+FFFD. Positions are code
 points. Repeated rows are scanned each on its own; other columns aren't looked at; an empty table
-gives an empty result. Values over ``MAX_VALUE`` characters cost at least the bound and are spans.
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ _ASSIGN_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"bearer")
 #: Least guess cost of a secret, in powers of ten.
 MIN_COST = 12.0
-MAX_VALUE = 256
 
 #: Common passwords and the words that stand for a value without being one, most common first.
 WORDS = (
@@ -65,9 +64,29 @@ def _pool(text: str) -> float:
 
 def segments(text: str) -> Iterator[tuple[int, int, float]]:
     """Start, end and cost of every segment that isn't brute force."""
+    yield from _short(text)
+    low, n = text.lower(), len(text)
+    for i in range(n):
+        walk = i + 1
+        while walk < n and (low[walk - 1], low[walk]) in _NEXT:
+            walk += 1
+        for j in range(i + 3, walk + 1):
+            yield i, j, _walk(j - i)
+
+
+def _walk(n: int) -> float:
+    return math.log10(47 * 4 * n)
+
+
+def _short(text: str) -> Iterator[tuple[int, int, float]]:
+    """The segments but walks: a bounded number for each start."""
     low = text.lower()
     plain = low.translate(_LEET)
     n = len(text)
+    same = {size: [0] * (n + 1) for size in (1, 2, 3, 4)}  # of each start: characters that equal those `size` later
+    for size, run in same.items():
+        for i in range(n - size - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if text[i] == text[i + size] else 0
     for i in range(n):
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             if rank := _RANK.get(low[i:j]) or _RANK.get(plain[i:j]):
@@ -76,15 +95,8 @@ def segments(text: str) -> Iterator[tuple[int, int, float]]:
         for m in (_DATE.match(text, i),):
             if m:
                 yield i, m.end(), math.log10(365 * 120)
-        walk = i + 1
-        while walk < n and (low[walk - 1], low[walk]) in _NEXT:
-            walk += 1
-        for j in range(i + 3, walk + 1):
-            yield i, j, math.log10(47 * 4 * (j - i))
         for size in (1, 2, 3, 4):
-            unit, j = text[i : i + size], i + size
-            while text[j : j + size] == unit:
-                j += size
+            unit, j = text[i : i + size], i + size + same[size][i] // size * size
             if len(unit) == size and j - i >= max(3, 2 * size):
                 yield i, j, size * _pool(unit) + math.log10((j - i) // size)
 
@@ -95,13 +107,30 @@ def guess_cost(text: str) -> float:
         return 0.0
     n, each = len(text), _pool(text)
     to: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in segments(text):
+    for i, j, cost in _short(text):
         to[j].append((i, cost))
+    # starts of the walk that ends here: one that an earlier start has caught up with stays behind for good
+    low, walk, starts = text.lower(), 0, []
     # best[j][0]: the last segment is known; best[j][1]: it is a brute-force span, which goes on at no further cut
     known, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for j in range(1, n + 1):
         brute[j] = min(brute[j - 1], known[j - 1] + (_CUT if j > 1 else 0)) + each
         known[j] = min((min(known[i], brute[i]) + cost + (_CUT if i else 0) for i, cost in to[j]), default=math.inf)
+        if j > 1 and (low[j - 2], low[j - 1]) not in _NEXT:
+            walk, starts = j - 1, []
+        if j - 3 >= walk:
+            i = j - 3
+            cost = min(known[i], brute[i]) + (_CUT if i else 0)
+            while starts and starts[-1][1] >= cost:
+                starts.pop()
+            starts.append((i, cost))
+            ahead, left = math.inf, []
+            for i, cost in starts:
+                if cost + _walk(j - i) < ahead:
+                    ahead = cost + _walk(j - i)
+                    left.append((i, cost))
+            starts = left
+            known[j] = min(known[j], ahead)
     return min(known[n], brute[n])
 
 
@@ -115,7 +144,7 @@ def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(x in low for x in _CONTEXT_HINTS):
-        found += [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if m.end(1) - m.start(1) > MAX_VALUE or guess_cost(m[1]) >= min_cost]
+        found += [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= min_cost]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
