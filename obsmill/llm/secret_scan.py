@@ -2,7 +2,7 @@
 
 The guess cost of a value is the least total, in powers of ten, over all ways to cut it into known
 words, dates, repeats, keyboard walks and brute-force spans (dynamic programming over positions).
-A value that follows a credential word and costs ``min_cost`` or more is a ``guess`` span; the
+A value that follows an identifier with a credential word and costs ``min_cost`` or more is a ``guess`` span; the
 fixed patterns' spans stay whatever they cost.
 
 Null and empty texts have no spans; bytes that aren't UTF-8 count as U+FFFD. Positions are code
@@ -27,11 +27,14 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A value in a credential context: a credential word, a sign, the value up to white space or a quote.
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|credentials?|bearer)\b["']?\x20*(?:[:=]|=>)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;]{6,})""",
+#: A value in a credential context: an identifier with a credential word, a sign, the value up to white space or a quote.
+NAME = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["']?\x20*(?:[:=]|=>)""", re.ASCII)
+#: Long words count anywhere in the identifier, short ones where no letters touch them or case tells them apart.
+CREDENTIAL = re.compile(
+    r"""password|passwd|passphrase|passcode|secret(?!ar[iy])|token|credential|(?:api|access|private)[_.-]?key|(?<![A-Za-z])(?:pass|pwd|auth|authorization|bearer)(?![A-Za-z])|(?-i:(?<=[a-z0-9])(?:Pass|Pwd|Auth|Authorization|Bearer)(?![a-z])|(?<![A-Za-z])(?:pass|pwd|auth|authorization|bearer)(?=[A-Z]))""",
     re.ASCII | re.IGNORECASE,
 )
+VALUE = re.compile(r"""["']?\x20*(?:[:=]|=>)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;]{6,})""", re.ASCII | re.IGNORECASE)
 _ASSIGN_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"bearer")
 #: Least guess cost of a secret, in powers of ten.
@@ -134,6 +137,15 @@ def guess_cost(text: str) -> float:
     return min(known[n], brute[n])
 
 
+def contexts(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the values in a credential context."""
+    at = 0
+    for name in NAME.finditer(text):
+        if name.start() >= at and CREDENTIAL.search(name[1]) and (m := VALUE.match(text, name.end(1))):
+            at = m.end()
+            yield m.span(1)
+
+
 def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
     """Spans as (kind, start, end), by start, then kind as listed."""
     low = text.encode("utf-8", "surrogatepass").lower()
@@ -144,7 +156,7 @@ def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(x in low for x in _CONTEXT_HINTS):
-        found += [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= min_cost]
+        found += [("guess", a, b) for a, b in contexts(text) if guess_cost(text[a:b]) >= min_cost]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

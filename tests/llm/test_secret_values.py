@@ -40,3 +40,18 @@ def test_walks_and_repeats_cost_the_same_as_one_by_one():
     for _ in range(300):
         t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 8)))
         assert abs(secret_scan.guess_cost(t) - every_segment(t)) < 1e-9, t
+
+
+def test_credential_words_inside_identifiers():
+    value = "f8$kd!92kd_Zq0@x"
+    for name in ("AWS_SECRET_ACCESS_KEY", "SECRET_KEY", "DB_PASSWORD", "db_pwd", "STRIPE_SECRET_KEY", "PGPASSWORD", "dbPassword", "userPwd", "authHeader", "spring.datasource.password", "password_1", "clientSecret", "pwd", "x-auth"):
+        for sign in ("=", ": ", '" : "', " = '"):
+            assert spans(f"a {name}{sign}{value} b") == [(2 + len(name + sign), 2 + len(name + sign + value))], (name, sign)
+    for name in ("author", "compass", "secretary", "passage", "bypass", "forbearer"):
+        assert spans(f"{name}: {value}") == [], name
+    assert spans("url=http://h/?db_password=" + value) == [(26, 42)]
+    assert spans("DB_PASSWORD=changeme") == []
+
+
+def test_long_identifiers_take_linear_time():
+    assert spans("token" * 200_000 + " no sign") == []
