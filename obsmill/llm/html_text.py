@@ -5,8 +5,9 @@ with their characters, their tags and the elements around them. Elements that ne
 article (menus, forms, scripts and the like, by tag, role, class or id) are left out. The lines'
 text-to-tag ratios are smoothed with a Gaussian and cut in two clusters; the lines of the upper one
 select the content region: the ``article`` or ``main`` that holds most of their text, else the
-smallest element around all of them. Every remaining line of that region is returned, short ones
-too; outside ``article`` and ``main`` lines that are mostly links are not.
+outermost element below the body around all of them. Every remaining line of that region is returned,
+short ones too; outside ``article`` and ``main`` runs of short lines that are mostly links, as menus
+have them, are not.
 
 A null or empty page has an empty text, and so has one without text. Bytes that aren't UTF-8 count
 as U+FFFD. Broken markup is read as the parser reads it; an element that is never closed ends with
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +44,8 @@ _SCOPES = frozenset("ul ol dl table div article main section body blockquote td"
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 LINK_SHARE = 0.5
+#: Lines in a row of one parent, of so many words at most, that are mostly links and so a menu.
+MENU_LINES, MENU_WORDS = 3, 4
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -54,6 +58,7 @@ class Lines(HTMLParser):
         self.hidden, self.links, self.tags, self.count = 0, 0, 0, 0
         self.inside = 0
         self.mains: set[int] = set()
+        self.pages: set[int] = set()
         self.line: list[str] = []
         self.linked = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
@@ -92,6 +97,8 @@ class Lines(HTMLParser):
         self.stack.append((tag, self.count, hide))
         self.hidden += hide
         self.links += tag == "a"
+        if tag in ("html", "body"):
+            self.pages.add(self.count)
         if tag in MAIN_TAGS:
             self.inside += 1
             if not self.hidden:
@@ -180,9 +187,19 @@ def main_text(html: str) -> str:
     if mains and sum(len(t) for t, _, _, path in chosen if not parser.mains.isdisjoint(path)) >= total / 2:
         region = set(mains)
         return "\n".join(text for text, _, _, path in lines if not region.isdisjoint(path))
-    around = [e for e, w in weight.items() if w == total]
-    root = max(around, default=None)  # numbers grow inwards
-    return "\n".join(text for text, linked, _, path in lines if (root is None or root in path) and linked < LINK_SHARE * len(text))
+    around = [e for e, w in weight.items() if w == total and e not in parser.pages]
+    root = min(around, default=None)  # numbers grow inwards
+    return "\n".join(_without_menus([x for x in lines if root is None or root in x[3]]))
+
+
+def _without_menus(lines: list[tuple[str, int, int, tuple[int, ...]]]) -> list[str]:
+    short = [linked >= LINK_SHARE * len(text) and len(text.split()) <= MENU_WORDS for text, linked, _, _ in lines]
+    out = []
+    for (link, _), run in groupby(zip(lines, short, strict=True), key=lambda x: (x[1], x[0][3][:-1])):
+        texts = [x[0] for x, _ in run]
+        if not link or len(texts) < MENU_LINES:
+            out += texts
+    return out
 
 
 def extract_pages(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
