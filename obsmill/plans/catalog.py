@@ -114,7 +114,13 @@ def display_prices(spark, sf):
     return frame(spark, sf, "listing").where("base IS NOT NULL").select("listing", display.toman(low, high).alias("price"))
 
 
-@query(f"SELECT p_partkey AS id, {_FA % '(p_partkey * 3 // 50 * 50)'} || ' تا ' || {_FA % '(CAST(ceil((p_partkey * 3 + 90) / 50.0) * 50 AS BIGINT))'} || ' متر' AS metres FROM part WHERE p_partkey * 3 + 90 < 1000")
+def _km(tenths: str) -> str:
+    """SQL of kilometres from tenths of one."""
+    return f"{_FA % f'({tenths} // 10)'} || CASE WHEN {tenths} % 10 = 0 THEN '' ELSE '٫' || {_FA % f'({tenths} % 10)'} END"
+
+
+@query(f"""SELECT id, CASE WHEN high < 1000 THEN {_FA % '(low // 50 * 50)'} || ' تا ' || {_FA % '((high + 49) // 50 * 50)'} || ' متر'
+ELSE {_km('(low // 100)')} || ' تا ' || {_km('((high + 99) // 100)')} || ' کیلومتر' END AS metres FROM (SELECT p_partkey AS id, p_partkey * 3 AS low, p_partkey * 3 + 90 AS high FROM part)""")
 def display_ranges(spark, sf):
     low = F.col("p_partkey") * 3
     return frame(spark, sf, "part").select(F.col("p_partkey").alias("id"), display.metres_range(low, low + 90).alias("metres"))

@@ -126,20 +126,34 @@ def _evidence_pairs(spark, sf):
     return both.select("a", "b", "l", "r", (match.hamming(F.col("ha"), F.col("hb")) - 18).alias("hamming"), F.round(match.cosine(F.col("va"), F.col("vb")) + 0.55, 4).alias("cosine"), (F.col("l") % 3).alias("df"))
 
 
-@query()
+def _one_to_one(name: str, rows: str, within: str, left: str, right: str, order: str) -> str:
+    """SQL: of a CTE the rows that a greedy one-to-one choice takes, as rounds of rows that are first on both sides."""
+    first = lambda side: f"row_number() OVER (PARTITION BY {within}{side} ORDER BY {order}) = 1"
+    gone = lambda side: f"bool_or(best) OVER (PARTITION BY {within}{side})"
+    return f"""{name}_round AS (SELECT *, {first(left)} AND {first(right)} AS best FROM {rows} UNION ALL
+  SELECT * EXCLUDE (gone), {first(left)} AND {first(right)} AS best FROM (SELECT * EXCLUDE (best), {gone(left)} OR {gone(right)} AS gone FROM {name}_round) WHERE NOT gone),
+{name} AS (SELECT * EXCLUDE (best) FROM {name}_round WHERE best)"""
+
+
+@query(f"""{with_views('photo', recursive=True)}, x AS (SELECT x.owner AS a, y.owner AS b, x.photo AS l, y.photo AS r, len(list_filter(list_zip(x.v, y.v), lambda p: (p[1] > 0) <> (p[2] > 0))) - 18 AS h,
+  round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) + 0.55, 4) AS c, x.photo % 3 AS df FROM photo x JOIN photo y ON y.owner = x.owner + 1),
+s AS (SELECT *, CASE WHEN h <= 6 OR c >= 0.92 THEN 1.0 WHEN h <= 10 OR c >= 0.85 THEN 0.5 ELSE 0.0 END AS s FROM x), strong AS (SELECT * FROM s WHERE s > 0),
+{_one_to_one('taken', 'strong', 'a, b, ', 'l', 'r', 's DESC, c DESC, h, l, r')},
+t AS (SELECT a, b, count(*) FILTER (WHERE s = 1.0) AS strong, count(*) FILTER (WHERE s < 1.0) AS weak, sum(CAST(s AS DOUBLE) / greatest(1, df)) AS w FROM taken GROUP BY a, b)
+SELECT x.a, x.b, CAST(coalesce(any_value(strong), 0) AS INT) AS strong, CAST(coalesce(any_value(weak), 0) AS INT) AS weak, round(coalesce(any_value(w), 0), 4) AS weighted, max(c) AS best_cosine, CAST(min(h) AS INT) AS best_hamming FROM x LEFT JOIN t ON t.a = x.a AND t.b = x.b GROUP BY x.a, x.b""")
 def photo_evidence(spark, sf):
     return match.photo_evidence(_evidence_pairs(spark, sf), ["a", "b"])
 
 
 @query(f"""{with_views('photo')}, x AS (SELECT x.owner AS a, y.owner AS b, len(list_filter(list_zip(x.v, y.v), lambda p: (p[1] > 0) <> (p[2] > 0))) - 18 AS h, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) + 0.55, 4) AS c
-FROM photo x JOIN photo y ON y.owner = x.owner + 1 WHERE y.owner < 20)
+FROM photo x JOIN photo y ON y.owner = x.owner + 1)
 SELECT a, b, count(*) FILTER (WHERE h <= 6 OR c >= 0.92) AS strong, count(*) FILTER (WHERE NOT (h <= 6 OR c >= 0.92) AND (h <= 10 OR c >= 0.85)) AS weak, max(c) AS best FROM x GROUP BY a, b""")
 def photo_strength(spark, sf):
     s = _evidence_pairs(spark, sf).withColumn("s", match.strength(F.col("hamming"), F.col("cosine")))
     return s.groupBy("a", "b").agg(F.count_if(F.col("s") == 1.0).alias("strong"), F.count_if(F.col("s") == 0.5).alias("weak"), F.max("cosine").alias("best"))
 
 
-@query("""WITH s AS (SELECT o_custkey % 300 AS a, o_custkey % 300 + 1 + o_orderkey % 3 AS b, CASE o_orderkey % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'geo_rooms' WHEN 2 THEN 'photo_hash' ELSE 'photo_embedding' END AS source FROM orders WHERE o_orderkey % 9 < 2)
+@query("""WITH s AS (SELECT o_custkey % 300 AS a, o_custkey % 300 + 1 + o_orderkey % 3 AS b, CASE o_orderkey % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'geo_rooms' WHEN 2 THEN 'photo_hash' ELSE 'photo_embedding' END AS source FROM orders)
 SELECT a, b, CASE WHEN count(DISTINCT source) > 1 THEN array_to_string(list_sort(list_filter(list_distinct(list(source)), lambda x: x <> 'wide')), ',') ELSE min(source) END AS sources FROM s GROUP BY a, b""")
 def block_union(spark, sf):
     o = frame(spark, sf, "orders")
@@ -213,7 +227,11 @@ def wait_queue(spark, sf):
     return match.wait_queue(match.decide(c, _POLICY), queued).join(c.select("a", "b", "id"), ["a", "b"]).select("id", "wait", "position")
 
 
-@query()
+@query(f"""{with_views('gold', recursive=True)}, c AS ({_CANDIDATES.format(gold='gold')}), e AS (SELECT *, blocked AND cross_platform AS ok FROM c), d AS (SELECT * FROM e WHERE ok AND score >= 1), no AS (SELECT a, b FROM c WHERE verdict = 'non_match' AND confidence > 0.9),
+free AS (SELECT a, b, max(score) AS w FROM d WHERE id % 13 <> 0 AND (a, b) NOT IN (SELECT (a, b) FROM no) GROUP BY a, b),
+{_one_to_one('pair', 'free', '', 'a', 'b', 'w DESC, a, b')},
+every AS (SELECT a AS id FROM d UNION SELECT b FROM d)
+SELECT id, coalesce(pair.a, id) AS cluster FROM every LEFT JOIN pair ON id = pair.a OR id = pair.b""")
 def cluster_villas(spark, sf):
     c = match.decide(_candidates(spark, sf), match.Policy(1.0)).where("decided_by IS NOT NULL").withColumn("complex_unit", F.col("id") % 13 == 0)
     ids = c.select(F.col("a").alias("id")).union(c.select("b")).distinct().withColumn("platform", F.when(F.col("id") < 400, "x").otherwise("y"))
@@ -222,7 +240,20 @@ def cluster_villas(spark, sf):
     return grouped
 
 
-@query()
+@query(f"""WITH RECURSIVE old AS (SELECT 'v-' || CAST(o_orderkey // 3 AS VARCHAR) AS villa, o_orderkey AS id FROM orders), fresh AS (SELECT (o_orderkey + o_custkey % 2) // 3 AS cluster, o_orderkey AS id FROM orders),
+shared AS (SELECT villa, cluster, count(*) AS n FROM old JOIN fresh USING (id) GROUP BY villa, cluster),
+{_one_to_one('kept', 'shared', '', 'villa', 'cluster', 'n DESC, villa, cluster')},
+m AS (SELECT cluster, array_to_string(list_sort(list(CAST(id AS VARCHAR))), '|') AS m FROM fresh WHERE cluster NOT IN (SELECT cluster FROM kept) GROUP BY cluster),
+name AS (SELECT cluster, k, 'v-' || substr(sha256(m || CASE WHEN k > 0 THEN '#' || k ELSE '' END), 1, 12) AS villa FROM m, range(4) t(k)),
+named AS (SELECT cluster, arg_min(villa, k) AS villa FROM name WHERE villa NOT IN (SELECT villa FROM old) GROUP BY cluster),
+villas AS (SELECT cluster, villa FROM kept UNION ALL SELECT cluster, villa FROM named),
+src AS (SELECT cluster, array_to_string(list_sort(list(DISTINCT villa)), ',') AS others, count(DISTINCT villa) AS n FROM shared GROUP BY cluster),
+heir AS (SELECT shared.villa, array_to_string(list_sort(list(DISTINCT villas.villa)), ',') AS others, count(DISTINCT villas.villa) AS n FROM shared JOIN villas USING (cluster) GROUP BY shared.villa)
+SELECT 'villa' AS what, CAST(cluster AS VARCHAR) AS key, villa FROM villas
+UNION ALL SELECT 'created', coalesce(others, ''), villa FROM named LEFT JOIN src USING (cluster)
+UNION ALL SELECT 'merged', others, villa FROM villas JOIN src USING (cluster) WHERE n > 1
+UNION ALL SELECT 'split', others, villa FROM heir WHERE n > 1
+UNION ALL SELECT 'retired', '', villa FROM (SELECT DISTINCT villa FROM old WHERE villa NOT IN (SELECT villa FROM kept))""")
 def reconcile_ids(spark, sf):
     o = frame(spark, sf, "orders")
     old = o.select(F.concat(F.lit("v-"), (F.col("o_orderkey") / 3).cast("int").cast("string")).alias("villa"), F.col("o_orderkey").alias("id"))
@@ -245,8 +276,7 @@ _CLAIM = f"""SELECT l_orderkey AS listing, l_linenumber AS line, l_partkey AS pa
     CASE l_suppkey % 5 WHEN 0 THEN concat('زیر ', {_NUMBER}, ' ', {_UNIT}) WHEN 1 THEN concat('بیش از ', {_NUMBER}, ' ', {_UNIT}) WHEN 2 THEN concat({_NUMBER}, ' تا ', ({_NUMBER}) + 10, ' ', {_UNIT}) WHEN 3 THEN concat({_NUMBER}, ' ', {_UNIT}) ELSE 'خیلی نزدیک' END AS value,
     CASE l_linenumber % 5 WHEN 0 THEN 'فاصله تا دریا' WHEN 1 THEN 'مرکز شهر' WHEN 2 THEN 'جنگل و دریا' WHEN 3 THEN 'دریاچه' ELSE 'سوپرمارکت' END AS target, CASE l_orderkey % 3 WHEN 0 THEN 'walk' WHEN 1 THEN 'car' ELSE 'unknown' END AS mode,
     l_extendedprice / 20 AS near, l_extendedprice / 20 + l_quantity * 20 AS far FROM {{lineitem}}"""
-# the oracles read a fifth of the listings; the queries read all
-_PARSED = f"""WITH c AS ({_CLAIM.format(lineitem='lineitem')} WHERE l_orderkey % 5 = 0), s AS (SELECT *, CAST(CASE WHEN unit = 'کیلومتر' THEN 1000 ELSE 1 END AS DOUBLE) AS k, CASE WHEN unit = 'دقیقه' THEN 'minutes' ELSE 'metres' END AS u FROM c),
+_PARSED = f"""WITH c AS ({_CLAIM.format(lineitem='lineitem')}), s AS (SELECT *, CAST(CASE WHEN unit = 'کیلومتر' THEN 1000 ELSE 1 END AS DOUBLE) AS k, CASE WHEN unit = 'دقیقه' THEN 'minutes' ELSE 'metres' END AS u FROM c),
 p AS (SELECT *, CASE WHEN supp % 5 = 4 THEN NULL ELSE u END AS parsed, CASE supp % 5 WHEN 0 THEN 0 WHEN 1 THEN n * k WHEN 2 THEN n * k WHEN 3 THEN 0 END AS low, CASE supp % 5 WHEN 0 THEN n * k WHEN 2 THEN (n + 10) * k WHEN 3 THEN n * k + greatest(CASE WHEN u = 'minutes' THEN 5 ELSE 50 END, n * k / 2) END AS high,
   CASE line % 5 WHEN 0 THEN 'sea' WHEN 1 THEN 'city_center' WHEN 2 THEN 'other' WHEN 3 THEN 'other' ELSE 'supermarket' END AS kind FROM s),
 r AS (SELECT *, CASE WHEN parsed = 'metres' THEN [low] WHEN mode = 'walk' THEN [low * 40] WHEN mode = 'car' THEN [low * 150] ELSE [low * 40, low * 150] END AS lows, CASE WHEN parsed = 'metres' THEN [high] WHEN mode = 'walk' THEN [high * 100] WHEN mode = 'car' THEN [high * 1000] ELSE [high * 100, high * 1000] END AS highs FROM p),

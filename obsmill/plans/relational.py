@@ -106,7 +106,7 @@ def parent_filter(spark, sf):
 
 # ---------------------------------------------------------------- dates
 
-@query("SELECT o_orderkey AS id, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT), INTERVAL 1 DAY)) AS DATE) AS night FROM orders WHERE o_orderkey < 2000", dates=("night",))
+@query("SELECT o_orderkey AS id, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT), INTERVAL 1 DAY)) AS DATE) AS night FROM orders", dates=("night",))
 def night_expansion(spark, sf):
     d = F.col("o_orderdate").cast("date")
     return frame(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.explode(calendar.nights(d, F.date_add(d, (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("night"))
@@ -180,7 +180,13 @@ def photo_first(spark, sf):
     return frame(spark, sf, "photo").groupBy("owner").agg(F.count("*").alias("photos"), F.min_by("photo", F.struct("owner", "photo")).alias("first"))
 
 
-@query()
+_NEAR_KEPT = "len(list_filter(kept, lambda q: len(list_filter(list_zip(q, h.v), lambda p: (p[1] > 0) <> (p[2] > 0))) <= 26)) > 0"
+
+
+@query(f"""{with_views('photo', recursive=True)}, h AS (SELECT photo, owner, v, row_number() OVER (PARTITION BY owner ORDER BY photo) AS k FROM photo),
+fold AS (SELECT owner, k, photo, true AS stays, [v] AS kept FROM h WHERE k = 1 UNION ALL
+  SELECT h.owner, h.k, h.photo, NOT ({_NEAR_KEPT}), CASE WHEN {_NEAR_KEPT} THEN kept ELSE list_append(kept, h.v) END FROM fold JOIN h ON h.owner = fold.owner AND h.k = fold.k + 1)
+SELECT owner, photo FROM fold WHERE stays""")
 def gallery_dedupe(spark, sf):
     """Photos of an owner in order, without those close to one kept before."""
     from obsmill.plans.matching import _hashes

@@ -166,7 +166,7 @@ def ablation(spark, sf):
     return at.groupBy("part").agg(F.round(F.max("f1"), 9).alias("f1"))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS id, o_custkey % 500 AS p, (o_custkey + o_orderkey % 2) % 500 AS g FROM orders WHERE o_orderkey < 3000)
+@query("""WITH c AS (SELECT o_orderkey AS id, o_custkey % 500 AS p, (o_custkey + o_orderkey % 2) % 500 AS g FROM orders)
 SELECT round(avg(pr), 9) AS precision, round(avg(re), 9) AS recall FROM (SELECT a.id, count(*) FILTER (WHERE a.p = b.p AND a.g = b.g) / CAST(count(*) FILTER (WHERE a.p = b.p) AS DOUBLE) AS pr, count(*) FILTER (WHERE a.p = b.p AND a.g = b.g) / CAST(count(*) FILTER (WHERE a.g = b.g) AS DOUBLE) AS re FROM c a JOIN c b ON a.p = b.p OR a.g = b.g GROUP BY a.id)""")
 def bcubed(spark, sf):
     o = frame(spark, sf, "orders")
@@ -235,7 +235,7 @@ def nearest_rank_latency(spark, sf):
     return evaluate.nearest_rank(frame(spark, sf, "events"), "value", 0.95, "event_type")
 
 
-@query(f"""{with_views('photo')}, p AS (SELECT x.photo % 10 = y.photo % 10 AS same, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])), 6) AS c FROM photo x JOIN photo y ON x.photo < y.photo WHERE x.photo < 200 AND y.photo < 200), t AS (SELECT round(quantile_cont(c, 0.05), 6) AS t FROM p WHERE same) SELECT t AS threshold, round(count(*) FILTER (WHERE NOT same AND c >= t) / CAST(count(*) FILTER (WHERE NOT same) AS DOUBLE), 6) AS fpr FROM p, t GROUP BY t""")
+@query(f"""{with_views('photo')}, p AS (SELECT x.photo % 10 = y.photo % 10 AS same, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])), 6) AS c FROM photo x JOIN photo y ON x.photo < y.photo), t AS (SELECT round(quantile_cont(c, 0.05), 6) AS t FROM p WHERE same) SELECT t AS threshold, round(count(*) FILTER (WHERE NOT same AND c >= t) / CAST(count(*) FILTER (WHERE NOT same) AS DOUBLE), 6) AS fpr FROM p, t GROUP BY t""")
 def retrieval_fpr(spark, sf):
     from obsmill.operators.match import cosine_counts
 
