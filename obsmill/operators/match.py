@@ -262,36 +262,54 @@ def wait_queue(waiting: DataFrame, queued: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clusters
 
 
+class Villas:
+    """A forest of merged listings. A root knows its tree's platforms and the roots that people keep apart from it."""
+
+    def __init__(self, platforms: dict, apart: list[tuple]):
+        self.up = dict.fromkeys(platforms)
+        self.platforms = {x: {p} for x, p in platforms.items()}
+        self.apart: dict = {x: set() for x in platforms}
+        for a, b in apart:
+            self.apart[a].add(b)
+            self.apart[b].add(a)
+
+    def root(self, x):
+        while (above := self.up[x]) is not None:
+            self.up[x] = self.up[above] if self.up[above] is not None else above
+            x = above
+        return x
+
+    def refusal(self, a, b, waits: bool) -> str | None:
+        """Why the trees of two roots stay apart."""
+        rules = (("same_platform", not self.platforms[a].isdisjoint(self.platforms[b])), ("cannot_link", b in self.apart[a]), ("complex_unit", waits))
+        return next((name for name, broken in rules if broken), None)
+
+    def merge(self, a, b) -> None:
+        a, b = min(a, b), max(a, b)
+        self.up[b] = a
+        self.platforms[a] |= self.platforms.pop(b)
+        for x in self.apart.pop(b):
+            self.apart[x].discard(b)
+            self.apart[x].add(a)
+            self.apart[a].add(x)
+
+
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     """One component's decisions, strongest first, under the constraints."""
-    member: dict = {}
-    platform: dict = {}
-    forbidden = {(a, b) for a, b, f in zip(rows["a"], rows["b"], rows["cannot"], strict=True) if f}
-    out = []
-    for r in rows.itertuples():
-        for x, p in ((r.a, r.pa), (r.b, r.pb)):
-            member.setdefault(x, {x})
-            platform[x] = p
-    todo = rows[~rows["cannot"]].sort_values(["weight", "a", "b"], ascending=[False, True, True])
-    for r in todo.itertuples():
-        left, right = member[r.a], member[r.b]
-        if left is right:
-            continue
-        if {platform[x] for x in left} & {platform[x] for x in right}:
-            reason = "same_platform"
-        elif any((min(x, y), max(x, y)) in forbidden for x in left for y in right):
-            reason = "cannot_link"
-        elif r.complex_unit and r.decided_by != "human":
-            reason = "complex_unit"
-        else:
-            left |= right
-            for x in right:
-                member[x] = left
-            continue
-        out.append((None, None, r.a, r.b, reason))
-    for x, group in member.items():
-        out.append((x, min(group), None, None, None))
-    return pd.DataFrame(out, columns=["id", "cluster", "a", "b", "reason"])
+    ends = pd.concat([rows[["a", "pa"]].set_axis(["id", "p"], axis=1), rows[["b", "pb"]].set_axis(["id", "p"], axis=1)]).drop_duplicates("id")
+    apart = rows[rows["cannot"]]
+    villas = Villas(dict(zip(ends["id"], ends["p"], strict=True)), list(zip(apart["a"], apart["b"], strict=True)))
+    refused = []
+    decided = rows[~rows["cannot"]].sort_values(["weight", "a", "b"], ascending=[False, True, True])
+    for a, b, waits in zip(decided["a"], decided["b"], decided["complex_unit"] & (decided["decided_by"] != "human"), strict=True):
+        left, right = villas.root(a), villas.root(b)
+        if left != right:
+            if reason := villas.refusal(left, right, waits):
+                refused.append((a, b, reason))
+            else:
+                villas.merge(left, right)
+    grouped = pd.DataFrame({"id": ends["id"], "cluster": [villas.root(x) for x in ends["id"]]})
+    return pd.concat([grouped, pd.DataFrame(refused, columns=["a", "b", "reason"])])[["id", "cluster", "a", "b", "reason"]].astype(object).replace({float("nan"): None})
 
 
 def cluster(members: DataFrame, decisions: DataFrame, cannot: DataFrame) -> tuple[DataFrame, DataFrame]:
