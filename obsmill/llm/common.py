@@ -10,14 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Bytes of text that the vectorised passes hold at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
 #: Rows up to which a key set may be broadcast (about 64 bytes a row once hashed); above, joins shuffle.
 BROADCAST_ROWS = 500_000
 
+#: A key of more than 1 / HOT of a table's rows is hot, so there are HOT at most; what a sketch tracks to find them.
+HOT, TRACKED = 256, 4096
+#: Tasks that share a hot key's rows in a join.
+SPREAD = 32
+
 U64 = np.uint64
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,17 +42,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # ---------------------------------------------------------------- scratch tables
 
 
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (base or f"file://{tempfile.gettempdir()}/obsmill-shared").rstrip("/")
+
+
 class Scratch:
     """Tables written to the cluster's shared folder to cut lineage.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, local
-    runs) a folder of our own is used. Tables go when the driver ends or with ``drop``.
+    The folder is ``spark.checkpoint.dir`` of the session. Only in local mode, where all tasks share
+    the driver's disk, a folder of our own stands in for it; a cluster without the setting is an error.
+    Tables go when the driver ends or with ``drop``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/obsmill-shared"
-        self.base = f"{base.rstrip('/')}/obsmill-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/obsmill-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._remove, self.base)
 
@@ -75,6 +88,49 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+# ---------------------------------------------------------------- hot keys
+
+
+def hot_keys(rows: DataFrame, key: str) -> list[int]:
+    """The keys (longs) of about 1 / HOT of the rows or more, by a mergeable sketch; there are at most HOT.
+
+    Only how rows are spread depends on them, never what comes out.
+    """
+    found = rows.agg(F.expr(f"approx_top_k({key}, {HOT}, {TRACKED})").alias("top"), F.count(key).alias("n")).first()
+    return [x["item"] for x in found["top"] or () if x["item"] is not None and x["count"] * HOT > found["n"]]
+
+
+def with_groups(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """Each row with narrow aggregates over the rows of its key.
+
+    Hot keys are reduced before the shuffle and their values, HOT rows at most, are broadcast; the
+    others meet in windows. ``rows`` is read several times, so it should be a table.
+    """
+    names, hot = rows.columns, hot_keys(rows, key)
+    some = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    out = rows.where(~some).select("*", *(a.over(W.partitionBy(key)).alias(n) for n, a in aggregates.items()))
+    if hot:
+        few = rows.where(some).groupBy(key).agg(*(a.alias(n) for n, a in aggregates.items()))
+        out = out.unionByName(rows.where(some).join(F.broadcast(few), key).select(*names, *aggregates))
+    return out
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot: list[int] | None = None) -> DataFrame:
+    """A shuffled join whose hot keys on the side of ``rows`` are dealt out to SPREAD tasks each.
+
+    ``table``'s rows of those keys are repeated for each. how: inner, left, left_semi. ``rows`` is
+    read twice, so it should be a table, or its hot keys be known.
+    """
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(table, key, how)
+    some = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    of = [f"`{f.name}`" for f in rows.schema.fields if f.dataType.typeName() not in ("array", "map")]
+    dealt = rows.withColumn("__salt", F.when(some, F.pmod(F.xxhash64(*of), F.lit(SPREAD)).cast("int")).otherwise(0))
+    copies = table.withColumn("__salt", F.explode(F.when(some, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 
@@ -203,6 +259,31 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return out, to
 
 
+def distinct_by_row(tokens: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct tokens, rising, and the rows' new starts. Row i has tokens[to[i] : to[i + 1]]."""
+    n = len(to) - 1
+    row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(to))
+    bits = max(1, n.bit_length())
+    # one sort by row and the token's leading bits
+    key = (row << U64(64 - bits)) | (tokens >> U64(bits))
+    order = np.argsort(key)
+    key, tokens, row = key[order], tokens[order], row[order]
+    near = key[1:] == key[:-1]
+    if (near & (tokens[1:] != tokens[:-1])).any():  # tokens that differ in their last bits only
+        order = np.lexsort((tokens, row))
+        tokens, row = tokens[order], row[order]
+        near = row[1:] == row[:-1]
+    keep = np.ones(len(tokens), bool)
+    keep[1:] = ~(near & (tokens[1:] == tokens[:-1]))
+    return tokens[keep], np.searchsorted(row[keep], np.arange(n + 1, dtype=np.uint64))
+
+
+def sums_by_row(values: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Wrapping sums of unsigned values by row."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return total[to[1:]] - total[to[:-1]]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

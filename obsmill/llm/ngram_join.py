@@ -13,6 +13,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm import similar
-from obsmill.llm.common import U64, Scratch, checked_broadcast, mix, offsets_list, raw, shingles, signed, slices, words
+from obsmill.llm.common import U64, Scratch, checked_broadcast, distinct_by_row, join_split, mix, offsets_list, raw, shingles, signed, slices, sums_by_row, words
 from obsmill.llm.components import components
 
 
@@ -29,77 +30,97 @@ Cut = Callable[[pa.RecordBatch], Iterable[tuple[pa.Array, pa.Array]]]
 
 
 def _sets(column: pa.Array, k: int):
-    """Some rows at a time: their number, and their sorted sets."""
+    """Some rows at a time: their number, their sets one after another, rising, and where each begins."""
     data, at = raw(column)
     for i, j in slices(at):
         h, _, _, first = words(data, at, i, j)
-        tokens, to = shingles(h, first, k)
-        yield j - i, [np.unique(tokens[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
+        yield j - i, *distinct_by_row(*shingles(h, first, k))
 
 
-def _class(s: np.ndarray) -> int:
-    """A set's class: a hash of its tokens and its size."""
-    if not len(s):
-        return 0
-    both = np.array([mix(s).sum(), (s * U64(0x9E3779B97F4A7C15) ^ (s >> U64(29))).sum()], np.uint64)
-    return int(mix(mix(both[:1] + U64(len(s))) ^ both[1:]).view(np.int64)[0])
+def _classes(tokens: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Each set's class: a hash of its tokens and its size; 0 of an empty set."""
+    size = np.diff(to).astype(np.uint64)
+    a, b = sums_by_row(mix(tokens), to), sums_by_row(tokens * U64(0x9E3779B97F4A7C15) ^ (tokens >> U64(29)), to)
+    return np.where(size > 0, mix(mix(a + size) ^ b), U64(0))
 
 
 def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", cut: Cut | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the smallest id that links reach, its own included).
 
     cut makes parts of rows, within the tasks that read them: it turns a batch (ids, texts) into
-    batches (parts' ids, texts). A part's id is struct<doc, start, end>, doc being the row's id; the
-    result then has a row for each part, and id_col and component_id are such ids.
+    batches (parts' ids, texts). A part's id is struct<doc, sig, start, end>: the row's id, a hash of
+    its text, and the part's place in it; the result then has a row for each part, and id_col and
+    component_id are such ids.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = "doc"
     if cut:
-        kind, whole = f"struct<doc: {kind}, start: int, `end`: int>", "doc.doc"
+        kind = f"struct<doc: {kind}, sig: int, start: int, `end`: int>"
     split = cut or (lambda b: [(b.column(0), b.column(1))])
     source = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    parts = threshold >= similar.EXACT
+    exact = threshold >= similar.EXACT
+    bands, rows = similar.tune(threshold)
+    # a smaller set is similar to its equals alone, which its class joins
+    least = math.ceil(similar.percent(threshold) / max(1, 100 - similar.percent(threshold)))
+
+    def signatures(tokens: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if exact:
+            keys = similar.part_signatures([tokens[a:b] for a, b in zip(to[:-1], to[1:], strict=True)], threshold)
+            return np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+        some = np.diff(to) >= least
+        begin, end = to[:-1][some], to[1:][some]
+        if not len(begin):
+            return np.zeros(0, np.uint64), np.zeros(len(to), np.int64)
+        # sets that are too small are left out of the runs of tokens
+        of = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange((end - begin).sum())
+        found = similar.band_signatures(tokens[of], np.concatenate([[0], np.cumsum(end - begin)]), bands, rows)
+        return found.ravel(), np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
 
     def describe(batches):
         for ids, column in (x for b in batches for x in split(b)):
             at = 0
-            for n, sets in _sets(column, k):
-                if parts:
-                    keys = similar.part_signatures(sets, threshold)
-                else:
-                    full = [s for s in sets if len(s)]
-                    bands = iter(similar.band_signatures(np.concatenate(full), np.cumsum([0, *map(len, full)])) if full else ())
-                    keys = [next(bands) if len(s) else s for s in sets]
-                to = np.cumsum([0, *map(len, keys)])
-                yield pa.record_batch([ids.slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), offsets_list(signed(np.concatenate(keys)), to)], ["doc", "n", "id", "keys"])
+            for n, tokens, to in _sets(column, k):
+                keys, ends = signatures(tokens, to)
+                yield pa.record_batch([ids.slice(at, n), pa.array(np.diff(to)), pa.array(signed(_classes(tokens, to))), offsets_list(signed(keys), ends)], ["doc", "n", "id", "keys"])
                 at += n
 
-    def tokens(batches):
-        for _, column in (x for b in batches for x in split(b)):
-            for _, sets in _sets(column, k):
-                some = np.concatenate(sets)
-                yield pa.record_batch([pa.array([_class(s) for s in sets], pa.int64()), offsets_list(signed(some), np.cumsum([0, *map(len, sets)]))], ["id", "tokens"])
+    def fetched(batches):
+        for b in batches:
+            wanted = b.column(2)
+            for ids, column in split(b):
+                if cut:  # of a row's parts only those asked for
+                    of = dict(zip(b.column(0).to_pylist(), wanted.to_pylist(), strict=True))
+                    asked = {d: set(x) for d, x in of.items()}
+                    names = zip(ids.field("doc").to_pylist(), ids.field("sig").to_pylist(), ids.field("start").to_pylist(), strict=True)
+                    column = column.filter(pa.array([f"{s}:{a}" in asked[d] for d, s, a in names], pa.bool_()))
+                for _, tokens, to in _sets(column, k):
+                    yield pa.record_batch([pa.array(signed(_classes(tokens, to))), offsets_list(signed(tokens), to)], ["id", "tokens"])
 
     described = scratch.save(source.mapInArrow(describe, f"doc {kind}, n long, id long, keys array<long>"))
-    classes = scratch.save(described.where("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("c")))
+    filled = described.where("n > 0")
+    classes = scratch.save(filled.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("c")))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = scratch.save(ids.join(classes, "id").select("id", "doc"))
-        rows = wanted.count()
+        n = wanted.count()
         # a class whose rows all lack an id is found among those
-        some = source.join(checked_broadcast(wanted.select(F.col(whole).alias("d")).distinct(), rows), F.expr("doc <=> d"), "left_semi")
-        return some.mapInArrow(tokens, "id long, tokens array<long>").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-
-    # one row of each class brings the signatures
-    first = described.where("n > 0").join(classes.where("c > 1").select("id", F.col("doc").alias("d")), "id", "left").where("d IS NULL OR doc = d")
-    edges = similar.links(first.select(F.explode("keys").alias("key"), "id"), fetch, threshold, scratch)
+        if cut:
+            by_doc = wanted.groupBy(F.col("doc.doc").alias("d")).agg(F.collect_set(F.concat_ws(":", "doc.sig", "doc.start")).alias("places"))
+        else:
+            by_doc = wanted.select(F.col("doc").alias("d"), F.lit(None).cast("array<string>").alias("places")).distinct()
+        some = source.join(checked_broadcast(by_doc, n), F.expr("doc <=> d")).select("doc", "text", "places")
+        return some.mapInArrow(fetched, "id long, tokens array<long>").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+    # one row of each class brings the signatures; a class of one row is that row
+    again = classes.where("c > 1").select("id", F.col("doc").alias("d"))
+    first = join_split(filled, again, "id", "left").where("d IS NULL OR doc = d").select("id", "keys")
+    keys = scratch.save(first.where("size(keys) > 0")).select(F.explode("keys").alias("key"), "id")
+    edges = similar.links(keys, fetch, threshold, scratch)
     found = components(edges, scratch)
-    names = classes.join(found, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
-    names = scratch.save(names)
-    least = names.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_class = names.where("id <> component").join(least, "component").select("id", "component_id").union(classes.join(least, F.col("id") == F.col("component")).select("id", "component_id"))
-    return described.join(by_class, "id", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, doc)").alias("component_id"))
+    names = scratch.save(classes.join(found, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component")))
+    name = names.groupBy("component").agg(F.min("doc").alias("component_id"))
+    by_class = join_split(names.select("id", "component"), name, "component").select("id", "component_id")
+    return join_split(described.select("doc", "n", "id"), by_class, "id", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, doc)").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from obsmill.llm.common import U64, Scratch, mix
+from obsmill.llm.common import U64, Scratch, hot_keys, join_split, mix, with_groups
 from obsmill.llm.components import components
 
 #: Least similarity for signatures by parts; below, parts are too small to tell sets apart.
 EXACT = 0.9
-#: MinHash bands and rows: a pair at 0.8 is missed with probability (1 - 0.8**3)**12, two in ten thousand.
-BANDS, ROWS = 12, 3
+#: Least probability that MinHash bands find a pair right at the threshold.
+RECALL = 0.9998
+#: What a false candidate costs against a band's row, at half the threshold's similarity.
+FALSE_COST = 40
 #: Tokens of a group's union that are held in one row at most.
 UNION = 65_536
 #: Sets of a group that a query is compared with without looking for a shared rare token first.
@@ -76,7 +78,16 @@ def part_signatures(sets: list[np.ndarray], threshold: float) -> list[np.ndarray
     return out
 
 
-def band_signatures(tokens: np.ndarray, to: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def tune(threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bands and rows of a band: of those that reach the recall at the threshold the cheapest by rows made and false candidates."""
+    found = []
+    for rows in range(1, 9):
+        bands = 1 if threshold == 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+        found.append((bands + bands * rows / 8 + FALSE_COST * (1 - (1 - (threshold / 2) ** rows) ** bands), bands, rows))
+    return min(found)[1:]
+
+
+def band_signatures(tokens: np.ndarray, to: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """MinHash band signatures (sets x bands) of consecutive runs of hashed tokens, none empty."""
     state = np.arange(bands * rows, dtype=np.uint64)
     odd = mix(state + U64(77)) | U64(1)
@@ -98,31 +109,33 @@ def _similar(p: int, a: str, b: str) -> str:
     return f"{100 + p} * {inter} >= {p} * (size({a}) + size({b}))"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that are similar. A set that is in many of them is dealt out."""
+    pairs = scratch.save(pairs)
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(_similar(p, "ta", "tb")).select("a", "b")
+    both = join_split(join_split(pairs, left, "a"), right, "b", hot=hot_keys(pairs, "b"))
+    return both.where(_similar(p, "ta", "tb")).select("a", "b")
 
 
 def links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that connect all sets that links connect; every edge is a verified link.
 
-    signatures: (key, id). fetch: from (id) to (id, tokens: distinct 64-bit hashes) for those ids.
+    signatures: (key, id), read several times. fetch: from (id) to (id, tokens: distinct 64-bit
+    hashes) for those ids.
     """
     p = percent(threshold)
-    by_key = W.partitionBy("key")
-    ends = signatures.select("key", "id", F.min("id").over(by_key).alias("lo"), F.max("id").over(by_key).alias("hi"), F.count("*").over(by_key).alias("c")).where("lo <> hi")
+    ends = with_groups(signatures, "key", lo=F.min("id"), hi=F.max("id"), c=F.count("*")).where("lo <> hi")
     shared = scratch.save(ends.select("key", "id", "c"))
     sets = scratch.save(fetch(shared.select("id").distinct()))
     # the set that shares most signatures with most others is the middle of its neighbourhood
     central = shared.groupBy("id").agg(F.sum("c").alias("w"))
-    leads = shared.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("w", "id")).alias("lead"))
-    pairs = shared.join(leads, "key").where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
-    stars = _verify(pairs.distinct(), sets, p)
-    stars = scratch.save(stars)
+    weighed = scratch.save(shared.select("key", "id").join(central, "id"))
+    stars = with_groups(weighed, "key", lead=F.max_by("id", F.struct("w", "id"))).where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
+    stars = scratch.save(_verify(stars.distinct(), sets, p, scratch))
     groups = scratch.save(components(stars, scratch))
-    grouped = shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-    open_ids = grouped.select("id", "g", F.min("g").over(by_key).alias("lo"), F.max("g").over(by_key).alias("hi")).where("lo <> hi").select("id", "g").distinct()
+    grouped = scratch.save(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g")))
+    open_ids = with_groups(grouped, "key", lo=F.min("g"), hi=F.max("g")).where("lo <> hi").select("id", "g").distinct()
     rest = scratch.save(sets.join(open_ids, "id").select("id", "g", "tokens"))
     return stars.unionByName(_across_groups(rest, sets, p, scratch))
 
@@ -131,7 +144,7 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
     """Links between sets of different groups. rest: (id, g, tokens)."""
     tokens = rest.select("id", "g", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(often, "token")
+    known = join_split(tokens, often, "token")
     by_id = W.partitionBy("id")
     ranked = known.select("token", "id", "g", "n", (F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("df", "token")) - 1).alias("at"))
     # of n tokens in one order, the first n - ceil(t n) + 1 hold one that a similar set shares
@@ -142,16 +155,20 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
         AND {100 + p} * (1 + least(x.n - x.at - 1, y.n - y.at - 1)) >= {p} * (x.n + y.n)"""
     near = matrix.alias("x").join(matrix.alias("y"), F.expr(f"x.token = y.token AND x.g < y.g AND {within}")).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
     # the sets of the smaller group ask the other one
-    sizes = rest.groupBy("g").agg(F.count("*").alias("c"))
-    near = near.join(sizes.toDF("ga", "ca"), "ga").join(sizes.toDF("gb", "cb"), "gb").select(F.expr("if(ca <= cb, ga, gb)").alias("g"), F.expr("if(ca <= cb, gb, ga)").alias("other"))
-    asked = scratch.save(rest.select("id", "g").join(near, "g").select("id", "other"))
-    union = tokens.select("g", "token").join(asked.select(F.col("other").alias("g")).distinct(), "g", "left_semi").distinct()
+    sizes = scratch.save(rest.groupBy("g").agg(F.count("*").alias("c")))
+    near = scratch.save(near)
+    near = join_split(join_split(near, sizes.toDF("ga", "ca"), "ga"), sizes.toDF("gb", "cb"), "gb", hot=hot_keys(near, "gb")).select(F.expr("if(ca <= cb, ga, gb)").alias("g"), F.expr("if(ca <= cb, gb, ga)").alias("other"))
+    asked = scratch.save(join_split(rest.select("id", "g"), near, "g").select("id", "other"))
+    wanted = asked.select(F.col("other").alias("g")).distinct()
+    union = join_split(tokens.select("g", "token"), wanted, "g", "left_semi", hot=hot_keys(rest, "g")).distinct()
     # a union of more tokens than a row should hold doesn't bound; its group is opened
-    held = union.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") <= UNION)
-    unions = union.join(held, "g", "left_semi").groupBy(F.col("g").alias("other")).agg(F.collect_list("token").alias("union"))
-    bound = asked.join(rest.select("id", "tokens"), "id").join(unions, "other", "left")
-    opened = bound.where(f"union IS NULL OR 100 * size(array_intersect(tokens, union)) >= {p} * size(tokens)").select("id", "other")
-    opened = scratch.save(opened.join(sizes.toDF("other", "c"), "other"))
+    held = scratch.save(union)
+    fits = held.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") <= UNION)
+    unions = join_split(held, fits, "g", "left_semi").groupBy(F.col("g").alias("other")).agg(F.collect_list("token").alias("union"))
+    asking = asked.join(rest.select("id", "tokens"), "id")
+    bound = join_split(asking, unions, "other", "left", hot=hot_keys(asked, "other"))
+    opened = scratch.save(bound.where(f"union IS NULL OR 100 * size(array_intersect(tokens, union)) >= {p} * size(tokens)").select("id", "other"))
+    opened = scratch.save(join_split(opened, sizes.toDF("other", "c"), "other"))
 
     def members(some: DataFrame) -> DataFrame:
         # the few sets of a small group are all compared; of a large one those that share a rare token
@@ -164,9 +181,9 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
     # groups are then linked, and only those still apart are compared in full
     first = opened.groupBy("id").agg(F.max_by(F.struct("other", "c"), F.struct("c", "other")).alias("m")).select("id", "m.other", "m.c")
     best = members(first).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    found = scratch.save(_verify(best, sets, p))
+    found = scratch.save(_verify(best, sets, p, scratch))
     of = rest.select("id", "g")
     joined = found.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     merged = scratch.save(components(joined, scratch))
     apart = opened.join(of, "id").join(merged.toDF("g", "mg"), "g", "left").join(merged.toDF("other", "mo"), "other", "left").where("coalesce(mg, g) <> coalesce(mo, other)")
-    return found.unionByName(_verify(members(apart.select("id", "other", "c")).select("a", "b"), sets, p))
+    return found.unionByName(_verify(members(apart.select("id", "other", "c")).select("a", "b"), sets, p, scratch))

@@ -1,18 +1,25 @@
 """Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
-Two kinds of passages are compared. Paragraphs (lines) of at least ``min_words`` words are banded by
-MinHash over shingles of five words; paragraphs that collide are joined, verified by exact Jaccard
-similarity and clustered by connected components. Passages inside paragraphs or across them are
-windows of ``min_words`` words that begin at content-chosen words (of any ``step`` consecutive
-starts the one of least hash is chosen, so equal text chooses equal starts): a repeated stretch of
-``min_words + step - 1`` words or more always shares a window, and equal windows are one cluster.
-A cluster counts when it meets two documents or more. The document of the smallest id keeps its
-copy; in the others it is removed. Spans of a document that overlap or touch are one span.
-
-Words are runs without ASCII white space, A-Z lower-cased. Positions are code points. Null, empty
-and short texts have no spans. Rows of one id are one document: a repeated row is no repetition
-across documents. Rows without an id are left alone. A passage that occurs twice in its keeper is
-kept twice. Other columns aren't looked at; an empty table gives an empty result.
+Paragraphs are a text's lines, of any length. They are banded by MinHash over shingles of five words
+(bands and rows are tuned from threshold and recall), paragraphs that collide are joined, verified by
+exact Jaccard similarity and clustered by connected components. A cluster that meets two documents
+or more is a repeat; its least place (document, position) keeps its copy.
+
+Passages inside longer paragraphs, or across them, are an addition, counted apart (column ``by``):
+windows of ``SIZE`` words begin at content-chosen words (of any ``STEP`` consecutive starts the one of
+least hash is chosen, so equal text chooses equal starts), and equal windows meet. Two texts with
+SIZE + STEP - 1 = 50 words in common always share a window. Shared windows on one diagonal are a run;
+a run is extended word by word, left and right, as far as the keeper's words are the same, which is
+less than STEP words, as more would hold another window.
+
+Removed stretches of a text that overlap or touch are one passage, which counts from ``min_words``
+words on: a short line that many documents share is no passage, several such lines in a row are.
+
+Words are runs without ASCII white space, A-Z lower-cased; a paragraph ends at a line feed.
+Positions are code points. Null, empty and short texts have no spans. Rows of one id are one
+document: what its rows share is no repetition across documents, and each row's spans are those of
+its own text. Rows without an id are left alone. A passage that occurs twice in its keeper is kept
+twice. Other columns aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,15 +27,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from obsmill.llm.common import U64, Scratch, hash_spans, mix, parts, raw, slices, spans
+from obsmill.llm.common import U64, Scratch, checked_broadcast, hash_spans, hot_keys, join_split, mix, raw, signed, slices, spans, with_groups
 from obsmill.llm.ngram_join import join_documents
 
-MIN_WORDS, STEP = 36, 15
+SIZE, STEP = 26, 25
+#: Least words of a passage.
+MIN_WORDS = 50
 #: Bytes of text at a time where each word brings STEP values.
 SLICE = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -63,79 +73,239 @@ def windows(h: np.ndarray, first: np.ndarray, size: int, step: int) -> tuple[np.
     return found, run(found, size)
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, step: int = STEP, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per span: id_col, start, end, component_id (the cluster's keeper), removed."""
+def signature(text: np.ndarray) -> int:
+    """Tells the rows of one id apart."""
+    return xxhash.xxh32_intdigest(text.tobytes()) - 2**31
+
+
+def paragraphs(b: pa.RecordBatch):
+    """Batches of lines with words: their places (in words) and texts. b: ids, texts."""
+    data, at = raw(b.column(1))
+    for i, j in slices(at):
+        low, start, _, first = spans(data, at, i, j)
+        cut = at[i : j + 1] - at[i]
+        edges = np.union1d(cut, np.flatnonzero(low[:-16] == 10) + 1)
+        text = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(low.tobytes()))
+        row = np.searchsorted(cut, edges[:-1], side="right") - 1
+        word = np.searchsorted(start, edges)
+        some = word[1:] > word[:-1]
+        row, begin, end = row[some], word[:-1][some], word[1:][some]
+        sig = np.array([signature(data[at[k] : at[k + 1]]) for k in range(i, j)], np.int64)
+        place = [b.column(0).take(pa.array(row + i)), pa.array(sig[row], pa.int32()), pa.array(begin - first[row], pa.int32()), pa.array(end - first[row], pa.int32())]
+        yield pa.StructArray.from_arrays(place, ["doc", "sig", "start", "end"]), text.filter(pa.array(some))
+
+
+def _cut(batches):
+    """The windows of each row: doc, sig, start word, key."""
+    for b in batches:
+        data, at = raw(b.column(1))
+        for i, j in slices(at, SLICE):
+            low, start, end, first = spans(data, at, i, j)
+            found, key = windows(hash_spans(low, start, end - start), first, SIZE, STEP)
+            row = np.searchsorted(first, found, side="right") - 1
+            sig = np.array([signature(data[at[k] : at[k + 1]]) for k in range(i, j)], np.int64)
+            yield pa.record_batch([b.column(0).take(pa.array(row + i)), pa.array(sig[row], pa.int32()), pa.array(found - first[row], pa.int32()), pa.array(signed(key))], ["doc", "sig", "at", "key"])
+
+
+def _contexts(batches):
+    """Words beside asked places: those before it (side 0) or from it on (side 1).
+
+    With them where in the text they begin, and the place itself, or where the word before the place
+    and they end. batches: doc, text, asked array<struct<sig, at, side>>.
+    """
+    for b in batches:
+        data, at = raw(b.column(1))
+        asked = b.column(2).to_pylist()
+        out: list[list] = [[] for _ in range(6)]
+        for k in range(len(b)):
+            sig = signature(data[at[k] : at[k + 1]])
+            places = sorted((x["at"], x["side"]) for x in asked[k] if x["sig"] == sig)
+            if not places:
+                continue
+            low, start, end, _ = spans(data, at, k, k + 1)
+            h = hash_spans(low, start, end - start)
+            point = _points(low)
+            for p, side in places:
+                a, z = (max(0, p - STEP), p) if side == 0 else (p, min(len(h), p + STEP))
+                edge = point[start[a : p + 1]] if side == 0 else point[end[p - 1 : z]]
+                for column, value in zip(out, (k, sig, p, side, signed(h[a:z]), edge), strict=True):
+                    column.append(value)
+        k, sig, p, side, h, edge = out
+        lists = lambda some, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(np.concatenate(some) if some else np.zeros(0, np.int64), kind))
+        yield pa.record_batch([b.column(0).take(pa.array(k, pa.int64())), pa.array(sig, pa.int32()), pa.array(p, pa.int32()), pa.array(side, pa.int32()), lists(h, pa.int64()), lists(edge, pa.int32())], ["kdoc", "ksig", "at", "side", "h", "edge"])
+
+
+def _points(low: np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    return np.concatenate([[0], np.cumsum((low[:-16] & 0xC0) != 0x80)])
+
+
+def _common(own: np.ndarray, other: np.ndarray) -> int:
+    """How many items from the first on are the same."""
+    n = min(len(own), len(other))
+    differ = np.flatnonzero(own[:n] != other[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _resolve(text: np.ndarray, marks: list[dict], min_words: int) -> tuple[list[tuple], list[tuple]]:
+    """Passages of a text, (start, end, keeper, removed, by), and what keepers' runs are, (keeper, start, end).
+
+    A mark is a paragraph (words start..end) or a run with its keeper's words before and behind.
+    """
+    sig = signature(text)
+    marks = [m for m in marks if m["sig"] == sig]
+    if not marks:
+        return [], []
+    at = np.array([0, len(text)])
+    low, start, end, _ = spans(text, at, 0, 1)
+    point = _points(low)
+    h = signed(hash_spans(low, start, end - start)) if any(m["before"] is not None for m in marks) else None
+    found, kept = [], []
+    for m in marks:
+        a, z = m["start"], m["end"]
+        runs = None
+        if m["before"] is not None:
+            before, behind = np.array(m["before"]["h"], np.int64), np.array(m["behind"]["h"], np.int64)
+            left, right = _common(h[max(0, a - STEP) : a][::-1], before[::-1]), _common(h[z : z + STEP], behind)
+            a, z = a - left, z + right
+            runs = (m["keeper"], m["before"]["edge"][len(before) - left], m["behind"]["edge"][right])
+        found.append((a, z, m["keeper"], m["removed"], "paragraph" if runs is None else "passage", runs))
+    out = []
+    for removed in (False, True):
+        some = sorted((x for x in found if x[3] is removed), key=lambda x: x[:3])
+        while some:
+            k, reach = 1, some[0][1]
+            while k < len(some) and some[k][0] <= reach:
+                reach = max(reach, some[k][1])
+                k += 1
+            group, some = some[:k], some[k:]
+            if reach - group[0][0] >= min_words:
+                by = {x[4] for x in group}
+                out.append((int(point[start[group[0][0]]]), int(point[end[reach - 1]]), min(x[2] for x in group), removed, by.pop() if len(by) == 1 else "both"))
+                kept += [x[5] for x in group if x[5]]
+    return out, kept
+
+
+def _marks(docs: DataFrame, threshold: float, min_words: int, scratch: Scratch) -> DataFrame:
+    """Per document: doc, marks. docs: doc, text, no id null."""
+    kind = docs.schema["doc"].dataType.simpleString()
+    clusters = scratch.save(join_documents(docs, k=5, threshold=threshold, id_col="doc", cut=paragraphs, scratch=scratch).select(F.col("doc").alias("place"), F.col("component_id").alias("least"), F.xxhash64("component_id").alias("c")))
+    met = with_groups(clusters, "c", last=F.max("place.doc")).where("least.doc <> last")
+    lines = met.select("place.doc", "place.sig", "place.start", "place.end", F.col("least.doc").alias("keeper"))
+
+    pieces = scratch.save(docs.mapInArrow(_cut, f"doc {kind}, sig int, at int, key long"))
+    shared = with_groups(pieces, "key", least=F.min(F.struct("doc", "sig", "at")), last=F.max("doc")).where("least.doc <> last AND doc <> least.doc")
+    by_run = W.partitionBy("doc", "sig", "kdoc", "ksig", "shift").orderBy("at")
+    copies = shared.select("doc", "sig", "at", F.col("least.doc").alias("kdoc"), F.col("least.sig").alias("ksig"), (F.col("least.at") - F.col("at")).alias("shift"))
+    new = F.coalesce(F.col("at") > F.lag("at").over(by_run) + SIZE, F.lit(True)).cast("int")
+    numbered = copies.withColumn("new", new).withColumn("run", F.sum("new").over(by_run))
+    runs = numbered.groupBy("doc", "sig", "kdoc", "ksig", "shift", "run").agg(F.min("at").alias("start"), (F.max("at") + SIZE).alias("end")).drop("run")
+
+    # which passages may be long enough, runs as long as they may get
+    alone = [F.lit(None).cast("int").alias(c) for c in ("ksig", "shift")]
+    flat = lines.select("doc", "sig", "start", "end", F.col("start").alias("lo"), F.col("end").alias("hi"), "keeper", (F.col("doc") != F.col("keeper")).alias("removed"), *alone)
+    long = runs.select("doc", "sig", "start", "end", (F.col("start") - (STEP - 1)).alias("lo"), (F.col("end") + (STEP - 1)).alias("hi"), F.col("kdoc").alias("keeper"), F.lit(True).alias("removed"), "ksig", "shift")
+    by_text = W.partitionBy("doc", "sig", "removed").orderBy("lo", "hi")
+    far = F.coalesce(F.col("lo") > F.max("hi").over(by_text.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    marked = flat.unionByName(long).withColumn("far", far).withColumn("island", F.sum("far").over(by_text.rowsBetween(W.unboundedPreceding, 0)))
+    island = W.partitionBy("doc", "sig", "removed", "island")
+    marked = marked.withColumn("words", F.max("hi").over(island) - F.min("lo").over(island)).where(F.col("words") >= min_words)
+    wanted = scratch.save(marked.select("doc", "sig", "start", "end", "keeper", "removed", "ksig", "shift"))
+
+    # the keepers' words beside the runs
+    some = wanted.where("shift IS NOT NULL")
+    sides = [some.select(F.col("keeper").alias("kdoc"), "ksig", (F.col(c) + F.col("shift")).alias("at"), F.lit(k).alias("side")) for k, c in enumerate(("start", "end"))]
+    asked = scratch.save(sides[0].union(sides[1]).distinct())
+    by_keeper = asked.groupBy(F.col("kdoc").alias("doc")).agg(F.collect_list(F.struct(F.col("ksig").alias("sig"), "at", "side")).alias("asked"))
+    texts = docs.join(checked_broadcast(by_keeper, asked.count()), "doc").select("doc", "text", "asked")
+    beside = scratch.save(texts.mapInArrow(_contexts, f"kdoc {kind}, ksig int, at int, side int, h array<long>, edge array<int>").dropDuplicates(["kdoc", "ksig", "at", "side"]))
+    place = lambda c, side: F.xxhash64("keeper", "ksig", F.col(c) + F.col("shift"), F.lit(side))
+    known = scratch.save(some.withColumn("k0", place("start", 0)).withColumn("k1", place("end", 1)))
+    of = lambda name, k: beside.where(F.col("side") == k).select(F.xxhash64("kdoc", "ksig", "at", "side").alias(f"k{k}"), F.struct("h", "edge").alias(name))
+    told = join_split(join_split(known, of("before", 0), "k0"), of("behind", 1), "k1", hot=hot_keys(known, "k1"))
+    none = F.lit(None).cast("struct<h: array<bigint>, edge: array<int>>")
+    plain = wanted.where("shift IS NULL").withColumn("before", none).withColumn("behind", none)
+    mark = ["doc", "sig", "start", "end", "keeper", "removed", "before", "behind"]
+    return told.select(*mark).unionByName(plain.select(*mark)).groupBy("doc").agg(F.collect_list(F.struct(*mark[1:])).alias("marks"))
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+
+
+def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Per passage: id_col, start, end, component_id (its keeper), removed, by (paragraph, passage or both).
+
+    A keeper's own passages are there with ``removed`` false.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    source = _source(docs, id_col, text_col)
 
-    def cut(batches):
+    def run(batches):
         for b in batches:
             data, at = raw(b.column(1))
-            for i, j in slices(at, SLICE):
-                low, start, end, first = spans(data, at, i, j)
-                found, key = windows(hash_spans(low, start, end - start), first, min_words, step)
-                row = np.searchsorted(first, found, side="right") - 1
-                point = np.concatenate([[0], np.cumsum((low[:-16] & 0xC0) != 0x80)])
-                base = point[at[i:j] - at[i]][row]
-                yield pa.record_batch([b.column(0).take(pa.array(row + i)), pa.array(key.view(np.int64)), pa.array(point[start[found]] - base, pa.int32()), pa.array(point[end[found + min_words - 1]] - base, pa.int32())], ["doc", "key", "start", "end"])
-
-    by_key = W.partitionBy("key")
-    pieces = source.mapInArrow(cut, f"doc {kind}, key long, start int, `end` int")
-    pieces = pieces.select("doc", "start", "end", F.min("doc").over(by_key).alias("keeper"), F.max("doc").over(by_key).alias("last")).where("keeper <> last").drop("last")
-
-    def paragraphs(b):
-        for i, some in parts(b.column(1)):
-            row, start, text = [], [], []
-            for k, x in enumerate(some, i):
-                at = 0
-                for line in x.split("\n"):
-                    if len(line) >= 2 * min_words - 1 and len(line.split()) >= min_words:
-                        row.append(k)
-                        start.append(at)
-                        text.append(line)
-                    at += len(line) + 1
-            ends = pa.array([s + len(t) for s, t in zip(start, text, strict=True)], pa.int32())
-            yield pa.StructArray.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), ends], ["doc", "start", "end"]), pa.array(text, pa.string())
-
-    clusters = join_documents(source, k=5, threshold=threshold, id_col="doc", cut=paragraphs, scratch=scratch).select(F.col("doc").alias("place"), "component_id")
-    met = clusters.groupBy("component_id").agg(F.max("place.doc").alias("last")).where("component_id.doc <> last").select("component_id", F.col("component_id.doc").alias("keeper"))
-    similar = clusters.join(met, "component_id").select("place.doc", "place.start", "place.end", "keeper")
-
-    by_doc = W.partitionBy("doc", "removed").orderBy("start", "end")
-    rows = pieces.unionByName(similar).withColumn("removed", F.expr("doc <> keeper"))
-    reach = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_doc))
-    out = marked.groupBy("doc", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keeper").alias("component_id"))
-    return out.select(F.col("doc").alias(id_col), "start", "end", "component_id", "removed")
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
-    """The rows of ``docs`` without their removed spans; a row of which nothing is left goes."""
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).where("removed")
-    found = found.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+            rows = []
+            for k, doc in enumerate(b.column(0).to_pylist()):
+                found, kept = _resolve(data[at[k] : at[k + 1]], b.column(2)[k].as_py(), min_words)
+                rows += [(doc, *x) for x in found] + [(x[0], x[1], x[2], x[0], False, "passage") for x in kept]
+            names = ["doc", "start", "end", "keeper", "removed", "by"]
+            kinds = [b.schema.types[0], pa.int32(), pa.int32(), b.schema.types[0], pa.bool_(), pa.string()]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
+
+    marked = source.join(_marks(source, threshold, min_words, scratch), "doc").select("doc", "text", "marks")
+    found = scratch.save(marked.mapInArrow(run, f"doc {kind}, start int, `end` int, keeper {kind}, removed boolean, by string"))
+    # many copies tell the same of their keeper
+    kept = found.where("NOT removed").groupBy("doc", "start", "end", "keeper", "by").agg(F.lit(1).alias("one")).drop("one")
+    by_doc = W.partitionBy("doc").orderBy("start", "end")
+    new = F.coalesce(F.col("start") > F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
+    islands = kept.withColumn("new", new).withColumn("island", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
+    how = F.when(F.count_distinct("by") > 1, "both").otherwise(F.min("by"))
+    kept = islands.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keeper").alias("keeper"), how.alias("by"))
+    # a keeper's passage may itself be a copy of an earlier one
+    gone = found.where("removed").select(F.col("doc").alias("d"), F.col("start").alias("a"), F.col("end").alias("z"))
+    kept = kept.join(gone, F.expr("doc = d AND a <= start AND z >= `end`"), "left_anti")
+    columns = [F.col("doc").alias(id_col), "start", "end", F.col("keeper").alias("component_id"), "removed", "by"]
+    return found.where("removed").select(*columns).unionByName(kept.withColumn("removed", F.lit(False)).select(*columns))
+
+
+def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` without their removed passages; a row of which nothing is left goes."""
+    scratch = scratch or Scratch(docs.sparkSession)
     names = docs.columns
-    text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
+    id_at, text_at = names.index(id_col), names.index(text_col)
+    chars_at = names.index(chars_col) if chars_col in names else None
+    marks = _marks(_source(docs, id_col, text_col), threshold, min_words, scratch).toDF("doc", "marks")
+    fields = [f"c{k}" for k in range(len(names))]
+    plain = docs.toDF(*fields)
 
     def run(batches):
         for b in batches:
-            gone = b.column(len(names)).to_pylist()
-            text, size, keep = [], [], []
-            for i, some in parts(b.column(text_at)):
-                for k, x in enumerate(some, i):
-                    at, left = 0, []
-                    for s in gone[k] or ():
-                        left.append(x[at : s["start"]])
-                        at = s["end"]
-                    y = "".join([*left, x[at:]])
-                    keep.append(not gone[k] or bool(y.strip()))
-                    text.append(y if b.column(text_at)[k].is_valid else None)
-                    size.append(len(y))
+            column, told = b.column(text_at), b.column(len(names))
+            data, at = raw(column)
+            touched, text, size, keep = [], [], [], []
+            for k in range(len(b)):
+                gone = [x for x in _resolve(data[at[k] : at[k + 1]], told[k].as_py(), min_words)[0] if x[3]] if told[k].is_valid else []
+                if not gone:
+                    keep.append(True)
+                    continue
+                x, begin, left = data[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"), 0, []
+                for a, z, *_ in sorted(gone):
+                    left.append(x[begin:a])
+                    begin = z
+                y = "".join([*left, x[begin:]])
+                touched.append(k)
+                text.append(y)
+                size.append(len(y))
+                keep.append(bool(y.strip()))
             columns = list(b.columns[: len(names)])
-            changed = pa.array([bool(g) for g in gone])
-            columns[text_at] = pa.array(text, columns[text_at].type)
-            if chars_at is not None:
-                columns[chars_at] = pa.compute.if_else(changed, pa.array(size, columns[chars_at].type), columns[chars_at])
-            yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
+            if touched:
+                mask = np.zeros(len(b), bool)
+                mask[touched] = True
+                columns[text_at] = pa.compute.replace_with_mask(column, pa.array(mask), pa.array(text, column.type))
+                if chars_at is not None:
+                    columns[chars_at] = pa.compute.replace_with_mask(columns[chars_at], pa.array(mask), pa.array(size, columns[chars_at].type))
+            yield pa.record_batch(columns, names=fields).filter(pa.array(keep, pa.bool_()))
 
-    return docs.join(found, docs[id_col] == found["__id"], "left").select(*(docs[c] for c in names), "__spans").mapInArrow(run, docs.schema)
+    joined = plain.join(marks, plain[f"c{id_at}"] == marks["doc"], "left").drop("doc")
+    return joined.mapInArrow(run, plain.schema).toDF(*names)
