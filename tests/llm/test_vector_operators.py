@@ -94,12 +94,12 @@ def test_scan_keeps_the_nearest():
         x = rng.normal(size=(600, 64))
         q = rng.normal(size=64)
         d = ((x - q) ** 2).sum(1)
-        found = set(ann.scan(q, x, 10).tolist())
+        found = set(ann.scan(q, ann.Columns(x), 10, stride=50).tolist())
         hit += len(found & set(np.argsort(d)[:10].tolist()))
         total += 10
     assert hit >= 0.99 * total
     same = np.zeros((50, 8))
-    assert len(ann.scan(np.zeros(8), same, 10)) == 50
+    assert len(ann.scan(np.zeros(8), ann.Columns(same), 10)) == 50
 
 
 def test_search_recall_and_form(spark, monkeypatch):
@@ -128,6 +128,49 @@ def test_search_recall_and_form(spark, monkeypatch):
     assert hit >= 0.9 * total
 
 
+def test_far_clusters_meet_only_themselves(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    centre = np.linalg.qr(rng.normal(size=(16, 16)))[0][:8]
+    x = np.repeat(centre, 80, 0) + rng.normal(size=(640, 16)) * 0.002
+    made = []
+    keep = cover_tree.Scratch.save
+    monkeypatch.setattr(cover_tree.Scratch, "save", lambda self, df: (out := keep(self, df), made.append(out))[0])
+    got = cover_tree.near_duplicates(table(spark, list(range(640)), x, [1] * 640)).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(80 * k, 79) for k in range(8)}
+    pairs = next(df for df in made if {"a", "b", "dim"} <= set(df.columns))
+    assert pairs.count() <= 8 * 6  # of two or three blocks of each cluster, not all pairs of sixteen or more
+
+
+def test_every_length_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "LENGTHS", 1)
+    monkeypatch.setattr(ann, "LENGTHS", 1)
+    vecs = [[1.0, 0, 0], [1.0, 0.0001, 0], [0, 1.0, 0], [1.0, 0], [1.0, 0.0001], [0, 1.0], [2.0, 0, 0, 0], [3.0, 0, 0, 0]]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(table(spark, range(8), vecs, [1] * 8)).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+    df = table(spark, range(8), vecs, [1] * 8)
+    near = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(df, df).collect()}
+    assert near == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 0, (3, 1): 4, (3, 2): 5, (4, 1): 3, (4, 2): 5, (5, 1): 4, (5, 2): 3, (6, 1): 7, (7, 1): 6}
+
+
+def test_ties_at_the_last_rank(spark):
+    x = [[1.0, 0.0], *([2.0, 0.0] for _ in range(30))]
+    df = table(spark, [100, *range(31, 1, -1)], x, [0] * 31)
+    got = ann.search(df, df.where("vec_id % 100 = 0"), k=10).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(2, 12))
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 5_000))
+    x[3] = x[0] * 2 + 1e-6
+    got = {r["vec_id"]: r["component_id"] for r in cover_tree.near_duplicates(table(spark, range(6), x, [1] * 6)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 5}
+    df = table(spark, range(6), x, [1] * 6)
+    want = min((np.linalg.norm(x[0].astype(np.float32) - x[k].astype(np.float32)), k) for k in range(1, 6))[1]
+    assert ann.search(df, df.where("vec_id = 0"), k=1).first()["vec_id"] == want
+
+
 def test_search_in_small_tables(spark):
     df = table(spark, [100, 1, 2], [[1.0, 0.0], [0.0, 1.0], [1.0, 0.1]], [0, 0, 0])
     got = ann.search(df, df.where("vec_id % 100 = 0")).orderBy("rank").collect()
