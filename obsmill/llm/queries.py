@@ -11,6 +11,8 @@ from obsmill.llm import ann, bpe, cover_tree, html_text, ngram_join, packing, se
 from obsmill.llm.common import read
 from obsmill.session import ship
 
+#: A ranked list of words for the guess costs.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The dealt rules: host, path prefix, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -45,7 +47,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_documents(read(spark, sf_dir, "documents")).drop("n_guess")
+    return secret_scan.scan_documents(read(spark, sf_dir, "documents"), vocabulary=VOCABULARY).drop("n_guess")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 The guess cost of a value is the least total, in powers of ten, over all ways to cut it into known
 words, dates, repeats, keyboard walks and brute-force spans (dynamic programming over positions).
+Words come from a ranked list: a short one of common passwords and, where a tokenizer's vocabulary
+file is given, its words of four letters or more in the order of their ids.
 A value that follows an identifier with a credential word and costs ``min_cost`` or more is a ``guess`` span; the
 fixed patterns' spans stay whatever they cost.
 
@@ -13,9 +15,11 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +54,30 @@ WORDS = (
     "tuesday wednesday thursday friday saturday sunday love money star angel charlie jordan michael thomas hunter killer soccer "
     "summer computer internet samsung google apple orange banana cookie flower purple silver golden tiger eagle"
 ).split()
-_RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, _RANK))
+
+
+class Ranked:
+    """Words and their ranks; of a repeated word the first counts."""
+
+    def __init__(self, words: Iterable[str]):
+        self.rank = {w: k + 1 for k, w in enumerate(dict.fromkeys(words))}
+        self.longest = max(map(len, self.rank), default=0)
+
+
+COMMON = Ranked(WORDS)
+
+
+@cache
+def ranked(vocabulary: str | None) -> Ranked:
+    """The common passwords, then the words of a vocabulary (a ``tokenizers`` file)."""
+    if vocabulary is None:
+        return COMMON
+    with open(vocabulary, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    plain = (t.lstrip("\u0120\u2581").lower() for t in sorted(ids, key=ids.get))
+    return Ranked([*WORDS, *(t for t in plain if len(t) >= 4 and t.isascii() and t.isalpha())])
+
+
 _LEET = str.maketrans("4@831!0$57", "aabeiiosst")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {(a, b) for row in _ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]} | {p for up, down in zip(_ROWS, _ROWS[1:]) for a, b in zip(up[1:], down) for p in ((a, b), (b, a))}
@@ -65,9 +91,9 @@ def _pool(text: str) -> float:
     return math.log10(max(10, n + 33 * any(not c.isascii() or not c.isalnum() for c in text)))
 
 
-def segments(text: str) -> Iterator[tuple[int, int, float]]:
+def segments(text: str, words: Ranked = COMMON) -> Iterator[tuple[int, int, float]]:
     """Start, end and cost of every segment that isn't brute force."""
-    yield from _short(text)
+    yield from _short(text, words)
     low, n = text.lower(), len(text)
     for i in range(n):
         walk = i + 1
@@ -81,7 +107,7 @@ def _walk(n: int) -> float:
     return math.log10(47 * 4 * n)
 
 
-def _short(text: str) -> Iterator[tuple[int, int, float]]:
+def _short(text: str, words: Ranked) -> Iterator[tuple[int, int, float]]:
     """The segments but walks: a bounded number for each start."""
     low = text.lower()
     plain = low.translate(_LEET)
@@ -91,10 +117,10 @@ def _short(text: str) -> Iterator[tuple[int, int, float]]:
         for i in range(n - size - 1, -1, -1):
             run[i] = run[i + 1] + 1 if text[i] == text[i + size] else 0
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(low[i:j]) or _RANK.get(plain[i:j]):
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            if rank := words.rank.get(low[i:j]) or words.rank.get(plain[i:j]):
                 part = text[i:j]
-                yield i, j, math.log10(rank) + 0.3 * (low[i:j] not in _RANK) + 0.3 * (part != low[i:j]) + 0.3
+                yield i, j, math.log10(rank) + 0.3 * (low[i:j] not in words.rank) + 0.3 * (part != low[i:j]) + 0.3
         for m in (_DATE.match(text, i),):
             if m:
                 yield i, m.end(), math.log10(365 * 120)
@@ -104,13 +130,13 @@ def _short(text: str) -> Iterator[tuple[int, int, float]]:
                 yield i, j, size * _pool(unit) + math.log10((j - i) // size)
 
 
-def guess_cost(text: str) -> float:
+def guess_cost(text: str, words: Ranked = COMMON) -> float:
     """Powers of ten of the guesses that the cheapest segmentation takes."""
     if not text:
         return 0.0
     n, each = len(text), _pool(text)
     to: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in _short(text):
+    for i, j, cost in _short(text, words):
         to[j].append((i, cost))
     # starts of the walk that ends here: one that an earlier start has caught up with stays behind for good
     low, walk, starts = text.lower(), 0, []
@@ -146,7 +172,7 @@ def contexts(text: str) -> Iterator[tuple[int, int]]:
             yield m.span(1)
 
 
-def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
+def scan(text: str, min_cost: float = MIN_COST, words: Ranked = COMMON) -> list[tuple[str, int, int]]:
     """Spans as (kind, start, end), by start, then kind as listed."""
     low = text.encode("utf-8", "surrogatepass").lower()
     found: list[tuple[str, int, int]] = []
@@ -156,7 +182,7 @@ def scan(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(x in low for x in _CONTEXT_HINTS):
-        found += [("guess", a, b) for a, b in contexts(text) if guess_cost(text[a:b]) >= min_cost]
+        found += [("guess", a, b) for a, b in contexts(text) if guess_cost(text[a:b], words) >= min_cost]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -183,14 +209,15 @@ def _line(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan_documents(docs: DataFrame, *, min_cost: float = MIN_COST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, *, min_cost: float = MIN_COST, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_assign, n_access, n_hex, n_guess, base_sha256, spans."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
+        words = ranked(vocabulary)
         for b in batches:
             for i, some in parts(b.column(1)):
-                rows = [scan(x, min_cost) for x in some]
+                rows = [scan(x, min_cost, words) for x in some]
                 counts = [pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in KINDS]
                 base = [hashlib.sha256(_line([s for s in r if s[0] != "guess"]).encode()).hexdigest() for r in rows]
                 yield pa.record_batch([b.column(0).slice(i, len(some)), *counts, pa.array(base, pa.string()), pa.array([_line(r) for r in rows], pa.string())], list("iabcdes"))
@@ -199,16 +226,17 @@ def scan_documents(docs: DataFrame, *, min_cost: float = MIN_COST, id_col: str =
     return out.toDF(id_col, "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")
 
 
-def redact_documents(docs: DataFrame, *, min_cost: float = MIN_COST, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redact_documents(docs: DataFrame, *, min_cost: float = MIN_COST, vocabulary: str | None = None, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns, with secrets replaced in the text and its length counted anew; a null text stays null."""
     where = [docs.columns.index(text_col), *([docs.columns.index(chars_col)] if chars_col in docs.columns else [])]
 
     def run(batches):
+        words = ranked(vocabulary)
         for b in batches:
             old, new, size = b.column(where[0]), [], []
             for i, some in parts(old):
                 for k, x in enumerate(some, i):
-                    y = redact(x, scan(x, min_cost)) if old[k].is_valid else None
+                    y = redact(x, scan(x, min_cost, words)) if old[k].is_valid else None
                     new.append(y)
                     size.append(None if y is None else len(y))
             columns = list(b.columns)
