@@ -31,7 +31,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return secret_scan.redact_documents(docs)
+    return secret_scan.redact_documents(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
