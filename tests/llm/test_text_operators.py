@@ -304,7 +304,7 @@ def test_words_of_a_vocabulary():
     words = secret_scan.ranked(public_tokenizers.path("byte_bpe_50k.json"))
     assert len(words.rank) > 5000 and words.rank["password"] == 1
     for told in ("something", "different", "Question", "Something-Different"):
-        assert secret_scan.guess_cost(told, words) < min(8, secret_scan.guess_cost(told) - 2), told
+        assert secret_scan.guess_cost(told, words) < min(10, secret_scan.guess_cost(told) - 2), told
     rng = random.Random(4)
     for _ in range(50):
         key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20))
