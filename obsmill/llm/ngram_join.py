@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm import similar
-from obsmill.llm.common import U64, Scratch, checked_broadcast, distinct_by_row, join_split, mix, offsets_list, raw, shingles, signed, slices, sums_by_row, words
+from obsmill.llm.common import BROADCAST_ROWS, U64, Scratch, checked_broadcast, distinct_by_row, join_split, mix, offsets_list, raw, shingles, signed, slices, sums_by_row, words
 from obsmill.llm.components import components
 
 
@@ -112,8 +112,10 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
         return some.mapInArrow(fetched, "id long, tokens array<long>").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
     # one row of each class brings the signatures; a class of one row is that row
-    again = classes.where("c > 1").select("id", F.col("doc").alias("d"))
-    first = join_split(filled, again, "id", "left").where("d IS NULL OR doc = d").select("id", "keys")
+    again = scratch.save(classes.where("c > 1").select("id", F.col("doc").alias("d")))
+    n = again.count()
+    many = join_split(filled, again, "id", "left") if n > BROADCAST_ROWS else filled.join(F.broadcast(again), "id", "left")
+    first = many.where("d IS NULL OR doc = d").select("id", "keys")
     keys = scratch.save(first.where("size(keys) > 0")).select(F.explode("keys").alias("key"), "id")
     edges = similar.links(keys, fetch, threshold, scratch)
     found = components(edges, scratch)

@@ -39,6 +39,8 @@ FALSE_COST = 40
 UNION = 65_536
 #: Sets of a group that a query is compared with without looking for a shared rare token first.
 FEW = 4
+#: Rarest tokens by which a query looks for one set of its largest group, and holders of one that it looks at.
+RAREST, HOLDERS = 4, 32
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -137,11 +139,12 @@ def links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], thresh
     grouped = scratch.save(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g")))
     open_ids = with_groups(grouped, "key", lo=F.min("g"), hi=F.max("g")).where("lo <> hi").select("id", "g").distinct()
     rest = scratch.save(sets.join(open_ids, "id").select("id", "g", "tokens"))
-    return stars.unionByName(_across_groups(rest, sets, p, scratch))
+    centres = open_ids.join(central, "id").groupBy(F.col("g").alias("other")).agg(F.max_by("id", F.struct("w", "id")).alias("b"))
+    return stars.unionByName(_across_groups(rest, sets, centres, p, scratch))
 
 
-def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> DataFrame:
-    """Links between sets of different groups. rest: (id, g, tokens)."""
+def _across_groups(rest: DataFrame, sets: DataFrame, centres: DataFrame, p: int, scratch: Scratch) -> DataFrame:
+    """Links between sets of different groups. rest: (id, g, tokens); centres: (other, b), a group's most central set."""
     tokens = rest.select("id", "g", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = join_split(tokens, often, "token")
@@ -170,20 +173,36 @@ def _across_groups(rest: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -
     opened = scratch.save(bound.where(f"union IS NULL OR 100 * size(array_intersect(tokens, union)) >= {p} * size(tokens)").select("id", "other"))
     opened = scratch.save(join_split(opened, sizes.toDF("other", "c"), "other"))
 
-    def members(some: DataFrame) -> DataFrame:
+    def pairs_of(some: DataFrame) -> DataFrame:
         # the few sets of a small group are all compared; of a large one those that share a rare token
         few = some.where(F.col("c") <= FEW).join(rest.select(F.col("g").alias("other"), F.col("id").alias("b")), "other").select(F.col("id").alias("a"), "b")
-        x, y = prefix.alias("x"), prefix.alias("y")
-        many = some.where(F.col("c") > FEW).alias("o").join(x, F.expr("o.id = x.id")).join(y, F.expr(f"x.token = y.token AND o.other = y.g AND {within}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        return few.union(many).groupBy("a", "b").agg(F.count("*").alias("n"))
-
-    # each query meets one set of its largest group first, that which shares most rare tokens; most
-    # groups are then linked, and only those still apart are compared in full
-    first = opened.groupBy("id").agg(F.max_by(F.struct("other", "c"), F.struct("c", "other")).alias("m")).select("id", "m.other", "m.c")
-    best = members(first).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    found = scratch.save(_verify(best, sets, p, scratch))
+        many = some.where(F.col("c") > FEW).alias("o").join(prefix.alias("x"), F.expr("o.id = x.id")).join(prefix.alias("y"), F.expr(f"x.token = y.token AND o.other = y.g AND {within}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        return few.union(many).distinct()
+
+    held_by = prefix.groupBy("token", F.col("g").alias("other")).agg(F.count("*").alias("k"), F.min("id").alias("stand"))
     of = rest.select("id", "g")
-    joined = found.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    merged = scratch.save(components(joined, scratch))
-    apart = opened.join(of, "id").join(merged.toDF("g", "mg"), "g", "left").join(merged.toDF("other", "mo"), "other", "left").where("coalesce(mg, g) <> coalesce(mo, other)")
-    return found.unionByName(_verify(members(apart.select("id", "other", "c")).select("a", "b"), sets, p, scratch))
+
+    def tried(some: DataFrame) -> DataFrame:
+        # two sets of the group: the most central one, and of those that hold the query's rarest tokens
+        # there (of a token that many hold one stands for all) the one that shares most of them
+        some = scratch.save(some)
+        told = some.join(prefix.select("id", "token"), "id").join(held_by, ["token", "other"])
+        told = scratch.save(told.withColumn("r", F.row_number().over(W.partitionBy("id", "other").orderBy("k", "token"))).where(F.col("r") <= RAREST))
+        each = told.where(F.col("k") <= HOLDERS).select(F.col("id").alias("a"), "other", "token").join(prefix.select("token", F.col("g").alias("other"), F.col("id").alias("b")), ["token", "other"])
+        shared = each.select("a", "other", "b").unionAll(told.where(F.col("k") > HOLDERS).select("id", "other", "stand"))
+        best = shared.groupBy("a", "other", "b").agg(F.count("*").alias("n")).groupBy("a", "other").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        middle = join_split(some, centres, "other").select(F.col("id").alias("a"), "b")
+        return scratch.save(_verify(best.select("a", "b").union(middle).distinct(), sets, p, scratch))
+
+    def apart(found: DataFrame) -> DataFrame:
+        joined = found.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+        merged = scratch.save(components(joined, scratch))
+        left = opened.join(of, "id").join(merged.toDF("g", "mg"), "g", "left").join(merged.toDF("other", "mo"), "other", "left")
+        return left.where("coalesce(mg, g) <> coalesce(mo, other)").select("id", "other", "c")
+
+    # each query tries its largest group first, then each that is still apart; most groups are linked by
+    # then, and what isn't is compared in full
+    largest = opened.groupBy("id").agg(F.max_by(F.struct("other", "c"), F.struct("c", "other")).alias("m")).select("id", "m.other", "m.c")
+    found = tried(largest)
+    found = found.unionByName(tried(apart(found)))
+    return found.unionByName(_verify(pairs_of(apart(found)), sets, p, scratch))

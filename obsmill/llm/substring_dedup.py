@@ -147,38 +147,59 @@ def _common(own: np.ndarray, other: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _resolve(text: np.ndarray, marks: list[dict], min_words: int) -> tuple[list[tuple], list[tuple]]:
+class Marks:
+    """The marks of a batch of texts, without making Python objects of their arrays."""
+
+    def __init__(self, column: pa.ListArray):
+        self.at = np.asarray(column.offsets)
+        self.valid = np.asarray(column.is_valid())
+        flat = column.values
+        self.sig, self.start, self.end = (np.asarray(flat.field(c)) for c in ("sig", "start", "end"))
+        self.removed, self.keeper = np.asarray(flat.field("removed")), flat.field("keeper")
+        self.run = np.asarray(flat.field("before").is_valid())
+        self.sides = [[(np.asarray(flat.field(side).field(c).offsets), np.asarray(flat.field(side).field(c).values)) for c in ("h", "edge")] for side in ("before", "behind")]
+
+    def of(self, row: int, sig: int) -> list[int]:
+        if not self.valid[row]:
+            return []
+        a, z = self.at[row], self.at[row + 1]
+        return (a + np.flatnonzero(self.sig[a:z] == sig)).tolist()
+
+    def beside(self, mark: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """A run's keeper's words on a side, and where they begin or end."""
+        return tuple(values[at[mark] : at[mark + 1]] for at, values in self.sides[side])
+
+
+def _resolve(text: np.ndarray, marks: Marks, row: int, min_words: int) -> tuple[list[tuple], list[tuple]]:
     """Passages of a text, (start, end, keeper, removed, by), and what keepers' runs are, (keeper, start, end).
 
     A mark is a paragraph (words start..end) or a run with its keeper's words before and behind.
     """
-    sig = signature(text)
-    marks = [m for m in marks if m["sig"] == sig]
-    if not marks:
+    some = marks.of(row, signature(text))
+    if not some:
         return [], []
-    at = np.array([0, len(text)])
-    low, start, end, _ = spans(text, at, 0, 1)
+    low, start, end, _ = spans(text, np.array([0, len(text)]), 0, 1)
     point = _points(low)
-    h = signed(hash_spans(low, start, end - start)) if any(m["before"] is not None for m in marks) else None
+    h = signed(hash_spans(low, start, end - start)) if marks.run[some].any() else None
     found, kept = [], []
-    for m in marks:
-        a, z = m["start"], m["end"]
-        runs = None
-        if m["before"] is not None:
-            before, behind = np.array(m["before"]["h"], np.int64), np.array(m["behind"]["h"], np.int64)
+    for m in some:
+        a, z, keeper, runs = int(marks.start[m]), int(marks.end[m]), marks.keeper[m].as_py(), None
+        if marks.run[m]:
+            (before, begins), (behind, ends) = marks.beside(m, 0), marks.beside(m, 1)
             left, right = _common(h[max(0, a - STEP) : a][::-1], before[::-1]), _common(h[z : z + STEP], behind)
             a, z = a - left, z + right
-            runs = (m["keeper"], m["before"]["edge"][len(before) - left], m["behind"]["edge"][right])
-        found.append((a, z, m["keeper"], m["removed"], "paragraph" if runs is None else "passage", runs))
+            runs = (keeper, int(begins[len(before) - left]), int(ends[right]))
+        found.append((a, z, keeper, bool(marks.removed[m]), "paragraph" if runs is None else "passage", runs))
     out = []
     for removed in (False, True):
-        some = sorted((x for x in found if x[3] is removed), key=lambda x: x[:3])
-        while some:
-            k, reach = 1, some[0][1]
-            while k < len(some) and some[k][0] <= reach:
-                reach = max(reach, some[k][1])
+        rest = sorted((x for x in found if x[3] is removed), key=lambda x: x[:3])
+        at = 0
+        while at < len(rest):
+            k, reach = at + 1, rest[at][1]
+            while k < len(rest) and rest[k][0] <= reach:
+                reach = max(reach, rest[k][1])
                 k += 1
-            group, some = some[:k], some[k:]
+            group, at = rest[at:k], k
             if reach - group[0][0] >= min_words:
                 by = {x[4] for x in group}
                 out.append((int(point[start[group[0][0]]]), int(point[end[reach - 1]]), min(x[2] for x in group), removed, by.pop() if len(by) == 1 else "both"))
@@ -245,10 +266,12 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, threshold: fl
     def run(batches):
         for b in batches:
             data, at = raw(b.column(1))
-            rows = []
+            marks, rows, told = Marks(b.column(2)), [], {}
             for k, doc in enumerate(b.column(0).to_pylist()):
-                found, kept = _resolve(data[at[k] : at[k + 1]], b.column(2)[k].as_py(), min_words)
-                rows += [(doc, *x) for x in found] + [(x[0], x[1], x[2], x[0], False, "passage") for x in kept]
+                found, kept = _resolve(data[at[k] : at[k + 1]], marks, k, min_words)
+                rows += [(doc, *x) for x in found]
+                told |= dict.fromkeys(kept)
+            rows += [(x[0], x[1], x[2], x[0], False, "passage") for x in told]
             names = ["doc", "start", "end", "keeper", "removed", "by"]
             kinds = [b.schema.types[0], pa.int32(), pa.int32(), b.schema.types[0], pa.bool_(), pa.string()]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
@@ -281,11 +304,11 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, threshold: fl
 
     def run(batches):
         for b in batches:
-            column, told = b.column(text_at), b.column(len(names))
+            column, marks = b.column(text_at), Marks(b.column(len(names)))
             data, at = raw(column)
             touched, text, size, keep = [], [], [], []
             for k in range(len(b)):
-                gone = [x for x in _resolve(data[at[k] : at[k + 1]], told[k].as_py(), min_words)[0] if x[3]] if told[k].is_valid else []
+                gone = [x for x in _resolve(data[at[k] : at[k + 1]], marks, k, min_words)[0] if x[3]] if marks.valid[k] else []
                 if not gone:
                     keep.append(True)
                     continue
