@@ -41,6 +41,9 @@ UNION = 65_536
 FEW = 4
 #: Rarest tokens by which a query looks for one set of its largest group, and holders of one that it looks at.
 RAREST, HOLDERS = 4, 32
+#: Rarest tokens that a query looks up in another group when it tries one set there. A pair of groups that
+#: this doesn't link is compared in full, so the bound is on work only.
+ASKED = 8
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -149,7 +152,8 @@ def _across_groups(rest: DataFrame, sets: DataFrame, centres: DataFrame, p: int,
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = join_split(tokens, often, "token")
     by_id = W.partitionBy("id")
-    ranked = known.select("token", "id", "g", "n", (F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("df", "token")) - 1).alias("at"))
+    nth = F.row_number().over(by_id.orderBy("df", "token"))
+    ranked = known.select("token", "id", "g", "n", nth.alias("nth"), (F.col("n") - F.count("*").over(by_id) + nth - 1).alias("at"))
     # of n tokens in one order, the first n - ceil(t n) + 1 hold one that a similar set shares
     prefix = scratch.save(ranked.where(f"at < n - cast(ceil({p} * n / 100.0D) as int) + 1"))
 
@@ -186,7 +190,7 @@ def _across_groups(rest: DataFrame, sets: DataFrame, centres: DataFrame, p: int,
         # two sets of the group: the most central one, and of those that hold the query's rarest tokens
         # there (of a token that many hold one stands for all) the one that shares most of them
         some = scratch.save(some)
-        told = some.join(prefix.select("id", "token"), "id").join(held_by, ["token", "other"])
+        told = some.join(prefix.where(F.col("nth") <= ASKED).select("id", "token"), "id").join(held_by, ["token", "other"])
         told = scratch.save(told.withColumn("r", F.row_number().over(W.partitionBy("id", "other").orderBy("k", "token"))).where(F.col("r") <= RAREST))
         each = told.where(F.col("k") <= HOLDERS).select(F.col("id").alias("a"), "other", "token").join(prefix.select("token", F.col("g").alias("other"), F.col("id").alias("b")), ["token", "other"])
         shared = each.select("a", "other", "b").unionAll(told.where(F.col("k") > HOLDERS).select("id", "other", "stand"))
