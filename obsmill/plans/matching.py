@@ -224,7 +224,7 @@ def wait_queue(spark, sf):
     from pyspark.sql.window import Window as W
 
     queued = c.where("id % 11 = 0").select("a", "b", F.row_number().over(W.orderBy("id")).alias("position"))
-    return match.wait_queue(match.decide(c, _POLICY), queued).join(c.select("a", "b", "id"), ["a", "b"]).select("id", "wait", "position")
+    return match.wait_queue(match.decide(c, _POLICY), queued, "id").select("id", "wait", "position")
 
 
 @query(f"""{with_views('gold', recursive=True)}, c AS ({_CANDIDATES.format(gold='gold')}), e AS (SELECT *, blocked AND cross_platform AS ok FROM c), d AS (SELECT * FROM e WHERE ok AND score >= 1), no AS (SELECT a, b FROM c WHERE verdict = 'non_match' AND confidence > 0.9),
