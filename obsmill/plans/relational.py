@@ -244,8 +244,8 @@ def stream_static_join(spark, sf):
 @query("""WITH o AS (SELECT user_id AS request, ts, CASE WHEN value >= 60 THEN 'ok' WHEN value < 2 THEN 'gone' ELSE 'error' END AS o FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY ts) AS k FROM o), f AS (SELECT request, min(k) FILTER (WHERE o <> 'error') AS first FROM n GROUP BY request), c AS (SELECT request, max(k) AS total FROM n GROUP BY request)
 SELECT request, CASE WHEN coalesce(first, 999999) <= 5 THEN (SELECT CASE WHEN o = 'ok' THEN 'done' ELSE 'skipped' END FROM n WHERE n.request = f.request AND k = first) WHEN total >= 5 THEN 'failed' ELSE 'pending' END AS status, CAST(least(coalesce(first - 1, total), total, 5) AS INT) AS attempts FROM f JOIN c USING (request)""")
 def stream_frontier(spark, sf):
-    e = streams.events(spark, sf).select(F.col("user_id").alias("request"), "ts", F.expr("CASE WHEN value >= 60 THEN 'ok' WHEN value < 2 THEN 'gone' ELSE 'error' END").alias("outcome"))
-    return streams.replay(streams.frontier(e), "update").select("request", "status", "attempts")
+    e = streams.events(spark, sf).select(F.col("user_id").alias("request"), "ts", F.col("event_id").alias("event"), F.expr("CASE WHEN value >= 60 THEN 'ok' WHEN value < 2 THEN 'gone' ELSE 'error' END").alias("outcome"))
+    return streams.latest(streams.replay(streams.frontier(e))).select("request", "status", "attempts")
 
 
 # ---------------------------------------------------------------- relational forms

@@ -75,22 +75,38 @@ BASE_S, MOST_S, ATTEMPTS = 120.0, 3600.0, 5
 
 
 def frontier_step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State machine of one request: pending until it is done, skipped or failed for good, with backoff."""
-    status, attempts, wait = state.get if state.exists else ("pending", 0, 0.0)
+    """State machine of one request: pending until it is done, skipped or failed for good, with backoff.
+
+    Files need not arrive in the order of time. The state holds what decides whatever comes later: the
+    first outcome that ends the request and the first ``ATTEMPTS`` errors, as (ts, event) each.
+    """
+    seen, ended, at, errors = state.get if state.exists else (0, "", [], [])
+    errors = list(zip(errors[::2], errors[1::2], strict=True))
     for rows in batches:
-        for outcome in rows.sort_values("ts")["outcome"]:
-            if status in ("done", "skipped", "failed"):
-                break
-            if outcome in ("ok", "gone"):
-                status, wait = ("done" if outcome == "ok" else "skipped"), 0.0
-            else:
-                attempts += 1
-                status = "failed" if attempts >= ATTEMPTS else "pending"
-                wait = 0.0 if status == "failed" else min(MOST_S, BASE_S * 2 ** (attempts - 1))
-    state.update((status, attempts, wait))
-    yield pd.DataFrame({"request": [key[0]], "status": [status], "attempts": [attempts], "wait_s": [wait]})
+        seen += len(rows)
+        when = list(zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), rows["event"].tolist(), strict=True))
+        outcomes = rows["outcome"].tolist()
+        errors = sorted(errors + [w for w, o in zip(when, outcomes, strict=True) if o not in ("ok", "gone")])[:ATTEMPTS]
+        ends = [(w, o) for w, o in zip(when, outcomes, strict=True) if o in ("ok", "gone")] + ([(tuple(at), ended)] if ended else [])
+        if ends:
+            at, ended = min(ends)
+    state.update((seen, ended, list(at), [x for e in errors for x in e]))
+    attempts = sum(not ended or e < tuple(at) for e in errors)
+    status = "failed" if attempts >= ATTEMPTS else {"ok": "done", "gone": "skipped"}.get(ended, "pending")
+    wait = min(MOST_S, BASE_S * 2 ** (attempts - 1)) if status == "pending" and attempts else 0.0
+    yield pd.DataFrame({"request": [key[0]], "status": [status], "attempts": [attempts], "wait_s": [wait], "seen": [seen]})
 
 
 def frontier(stream: DataFrame) -> DataFrame:
-    """Outcomes (request, ts, outcome: ok, gone or error) to each request's state, in update mode."""
-    return stream.groupBy("request").applyInPandasWithState(frontier_step, "request long, status string, attempts int, wait_s double", "status string, attempts int, wait_s double", "update", "NoTimeout")
+    """Outcomes (request, ts, event, outcome: ok, gone or error) to each request's state, a row of it for every batch with news.
+
+    ``event`` orders outcomes of one time; ``seen`` counts the outcomes that a row rests on.
+    """
+    return stream.groupBy("request").applyInPandasWithState(
+        frontier_step, "request long, status string, attempts int, wait_s double, seen long", "seen long, ended string, at array<long>, errors array<long>", "append", "NoTimeout"
+    )
+
+
+def latest(states: DataFrame) -> DataFrame:
+    """Of a replayed frontier the last state of each request."""
+    return states.groupBy("request").agg(F.max_by(F.struct("status", "attempts", "wait_s"), "seen").alias("m")).select("request", "m.*")

@@ -42,3 +42,12 @@ def test_wait_queue_has_one_place_for_each_waiting_row(spark, tmp_path):
     folder = tables(tmp_path, part="SELECT * FROM part UNION ALL SELECT * REPLACE (p_partkey + 15600 AS p_partkey) FROM part")
     got = registry.queries()["wait_queue"](spark, folder).toArrow().to_pydict()
     assert len(set(got["id"])) == len(got["id"]) == len(set(got["position"]))
+
+
+def test_frontier_over_files_in_any_order(spark, tmp_path):
+    folder = tables(tmp_path, events="SELECT * FROM events WHERE false")
+    (tmp_path / "events.parquet").unlink()
+    (tmp_path / "events.parquet").mkdir()
+    for k, part in enumerate(("ts >= TIMESTAMP '2024-01-12'", "ts < TIMESTAMP '2024-01-12' AND event_id % 2 = 0", "ts < TIMESTAMP '2024-01-12' AND event_id % 2 = 1")):
+        duckdb.sql(f"COPY (SELECT * FROM read_parquet('{SF}/events.parquet') WHERE {part}) TO '{tmp_path}/events.parquet/{k}.parquet' (FORMAT parquet)")
+    agrees(spark, "stream_frontier", folder)
