@@ -26,15 +26,13 @@ _HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin((radians(b.lat) - radians
 
 @query(f"{with_views('spot')} SELECT a.id AS a, b.id AS b, round({_HAV}, 3) AS metres FROM spot a JOIN spot b ON a.id < b.id AND {_HAV} <= 2000")
 def haversine_pairs(spark, sf):
-    return match.near_pairs(frame(spark, sf, "spot").select("id", "lat", "lon"), 2000.0).withColumn("metres", F.round("metres", 3))
+    return match.near_pairs(frame(spark, sf, "spot").select("id", "lat", "lon"), 2000.0, lambda m, a, b: F.round(m, 3))
 
 
 @query(f"{with_views('spot')} SELECT a.id AS a, b.id AS b, round(greatest(0.0, {_HAV} - coalesce(a.radius, 0) - coalesce(b.radius, 0)), 1) AS least FROM spot a JOIN spot b ON a.id < b.id AND {_HAV} <= 1500")
 def least_distance(spark, sf):
-    spots = frame(spark, sf, "spot")
-    near = match.near_pairs(spots.select("id", "lat", "lon"), 1500.0)
-    ra, rb = spots.select(F.col("id").alias("a"), F.col("radius").alias("ra")), spots.select(F.col("id").alias("b"), F.col("radius").alias("rb"))
-    return near.join(ra, "a").join(rb, "b").select("a", "b", geo.least_distance(F.col("metres"), F.col("ra"), F.col("rb")).alias("least"))
+    spots = frame(spark, sf, "spot").select("id", "lat", "lon", "radius")
+    return match.near_pairs(spots, 1500.0, lambda m, a, b: geo.least_distance(m, a["radius"], b["radius"])).withColumnRenamed("metres", "least")
 
 
 _NEAREST = f"""SELECT a.id, b.kind, arg_min(b.name, {_HAV}) AS name, min({_HAV}) AS metres FROM spot a JOIN place b ON {_HAV} <= 30000 GROUP BY a.id, b.kind"""

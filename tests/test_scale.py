@@ -6,8 +6,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from obsmill import registry
+from obsmill.operators import match
 from obsmill.plans.surrogate import TABLES
 from tests.test_oracles import SF, rows
 
@@ -51,3 +53,14 @@ def test_frontier_over_files_in_any_order(spark, tmp_path):
     for k, part in enumerate(("ts >= TIMESTAMP '2024-01-12'", "ts < TIMESTAMP '2024-01-12' AND event_id % 2 = 0", "ts < TIMESTAMP '2024-01-12' AND event_id % 2 = 1")):
         duckdb.sql(f"COPY (SELECT * FROM read_parquet('{SF}/events.parquet') WHERE {part}) TO '{tmp_path}/events.parquet/{k}.parquet' (FORMAT parquet)")
     agrees(spark, "stream_frontier", folder)
+
+
+def test_copies_of_points_and_places_meet_once(spark):
+    points = spark.createDataFrame([(k, 36.0, 51.0) for k in range(300)] + [(300, 36.005, 51.0)], "id long, lat double, lon double")
+    places = spark.createDataFrame([("k0", f"p{k:03}", 36.0, 51.0) for k in range(300)], "kind string, name string, lat double, lon double")
+    asks = points.selectExpr("lat AS la", "lon AS oa").distinct()
+    assert match._reached(asks, places.groupBy("kind", "lat", "lon").agg(F.min("name")), 2000.0).count() == 2
+    got = match.nearest(points, places, 2000.0).collect()
+    assert len(got) == 301 and {r["name"] for r in got} == {"p000"}
+    pairs = match.near_pairs(points.withColumn("r", F.col("id") % 2), 2000.0, lambda m, a, b: a["r"] + b["r"]).groupBy("metres").count().collect()
+    assert {r["metres"]: r["count"] for r in pairs} == {0: 151 * 150 // 2, 1: 151 * 150, 2: 150 * 149 // 2}
