@@ -104,7 +104,7 @@ def photo_blocking(spark, sf):
 
 
 def _similar(spark, sf):
-    return match.hamming_pairs(_hashes(spark, sf), 18).select("a", "b")
+    return match.hamming_links(_hashes(spark, sf), 18)
 
 
 @query(f"""{with_views('photo', recursive=True)}, link AS (SELECT a, b FROM ({_HAM}) WHERE hamming <= 18), e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsmill import registry
-from obsmill.operators import match
+from obsmill.operators import graph, match
 from obsmill.plans.surrogate import TABLES
 from tests.test_oracles import SF, rows
 
@@ -64,3 +64,23 @@ def test_copies_of_points_and_places_meet_once(spark):
     assert len(got) == 301 and {r["name"] for r in got} == {"p000"}
     pairs = match.near_pairs(points.withColumn("r", F.col("id") % 2), 2000.0, lambda m, a, b: a["r"] + b["r"]).groupBy("metres").count().collect()
     assert {r["metres"]: r["count"] for r in pairs} == {0: 151 * 150 // 2, 1: 151 * 150, 2: 150 * 149 // 2}
+
+
+def photos(spark, n: int):
+    """Vectors of which some are copies of others."""
+    return spark.range(n).select("id", (F.col("id") % 7).alias("owner"), F.array(*(F.sin(F.floor(F.col("id") / 3) * k + 1).cast("float") for k in range(2, 18))).alias("v"))
+
+
+def test_top_of_blocks_is_the_top_of_all(spark):
+    v = photos(spark, 400)
+    one, many = (sorted(tuple(r) for r in match.cosine_topk(v, 5, block=block).collect()) for block in (2048, 50))
+    assert one == many and len(one) == 2000
+
+
+def test_links_have_the_closure_of_pairs_and_fewer_rows(spark):
+    h = spark.range(600).select("id", F.shiftrightunsigned(F.xxhash64(F.floor(F.col("id") / 2)), 40).alias("h"))
+    pairs, links = match.hamming_pairs(h, 5, 40).select("a", "b"), match.hamming_links(h, 5, 40)
+    closure = lambda x: sorted(tuple(r) for r in graph.components(x).collect())
+    assert closure(pairs) == closure(links)
+    big = match.hamming_links(h, 12).count()
+    assert big < 600 < match.hamming_pairs(h, 12).count()
