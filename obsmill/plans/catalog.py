@@ -175,6 +175,4 @@ def coast_distance(spark, sf):
 
 @query(f"{with_views('photo')} SELECT x.photo AS a, y.photo AS b, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])), 6) AS cosine FROM photo x JOIN photo y ON x.owner = y.owner AND x.photo < y.photo")
 def photos_within_listing(spark, sf):
-    p = frame(spark, sf, "photo")
-    a, b = p.select("owner", F.col("photo").alias("a"), F.col("v").alias("va")), p.select("owner", F.col("photo").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "owner").where("a < b").select("a", "b", F.round(match.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    return match.cosines_within(frame(spark, sf, "photo").select(F.col("photo").alias("id"), "owner", "v"))

@@ -114,14 +114,12 @@ def document_frequency(spark, sf):
     return match.document_frequency(_similar(spark, sf), frame(spark, sf, "photo").select("photo", "owner"))
 
 
-def _evidence_pairs(spark, sf):
-    """Photos of neighbouring owners, all against all within a pair of owners."""
+def _galleries(spark, sf):
+    """Photos with hashes, and the pairs of neighbouring owners."""
     p = frame(spark, sf, "photo")
-    h = _hashes(spark, sf)
-    one = p.join(h, p["photo"] == h["id"]).select("photo", "owner", "v", "h")
-    a, b = one.select(F.col("photo").alias("l"), F.col("owner").alias("a"), F.col("v").alias("va"), F.col("h").alias("ha")), one.select(F.col("photo").alias("r"), F.col("owner").alias("b"), F.col("v").alias("vb"), F.col("h").alias("hb"))
-    both = a.join(b, F.expr("b = a + 1"))
-    return both.select("a", "b", "l", "r", (match.hamming(F.col("ha"), F.col("hb")) - 18).alias("hamming"), F.round(match.cosine(F.col("va"), F.col("vb")) + 0.55, 4).alias("cosine"), (F.col("l") % 3).alias("df"))
+    rows = p.join(_hashes(spark, sf), F.col("photo") == F.col("id")).select("id", "owner", "v", "h", (F.col("id") % 3).alias("df"))
+    owners = p.select(F.col("owner").alias("a")).distinct()
+    return rows, owners.select("a", (F.col("a") + 1).alias("b"))
 
 
 def _one_to_one(name: str, rows: str, within: str, left: str, right: str, order: str) -> str:
@@ -140,15 +138,14 @@ s AS (SELECT *, CASE WHEN h <= 6 OR c >= 0.92 THEN 1.0 WHEN h <= 10 OR c >= 0.85
 t AS (SELECT a, b, count(*) FILTER (WHERE s = 1.0) AS strong, count(*) FILTER (WHERE s < 1.0) AS weak, sum(CAST(s AS DOUBLE) / greatest(1, df)) AS w FROM taken GROUP BY a, b)
 SELECT x.a, x.b, CAST(coalesce(any_value(strong), 0) AS INT) AS strong, CAST(coalesce(any_value(weak), 0) AS INT) AS weak, round(coalesce(any_value(w), 0), 4) AS weighted, max(c) AS best_cosine, CAST(min(h) AS INT) AS best_hamming FROM x LEFT JOIN t ON t.a = x.a AND t.b = x.b GROUP BY x.a, x.b""")
 def photo_evidence(spark, sf):
-    return match.photo_evidence(_evidence_pairs(spark, sf), ["a", "b"])
+    return match.gallery_evidence(*_galleries(spark, sf), bits=18, tilt=0.55)
 
 
 @query(f"""{with_views('photo')}, x AS (SELECT x.owner AS a, y.owner AS b, len(list_filter(list_zip(x.v, y.v), lambda p: (p[1] > 0) <> (p[2] > 0))) - 18 AS h, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) + 0.55, 4) AS c
 FROM photo x JOIN photo y ON y.owner = x.owner + 1)
 SELECT a, b, count(*) FILTER (WHERE h <= 6 OR c >= 0.92) AS strong, count(*) FILTER (WHERE NOT (h <= 6 OR c >= 0.92) AND (h <= 10 OR c >= 0.85)) AS weak, max(c) AS best FROM x GROUP BY a, b""")
 def photo_strength(spark, sf):
-    s = _evidence_pairs(spark, sf).withColumn("s", match.strength(F.col("hamming"), F.col("cosine")))
-    return s.groupBy("a", "b").agg(F.count_if(F.col("s") == 1.0).alias("strong"), F.count_if(F.col("s") == 0.5).alias("weak"), F.max("cosine").alias("best"))
+    return match.gallery_strength(*_galleries(spark, sf), bits=18, tilt=0.55)
 
 
 @query("""WITH s AS (SELECT o_custkey % 300 AS a, o_custkey % 300 + 1 + o_orderkey % 3 AS b, CASE o_orderkey % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'geo_rooms' WHEN 2 THEN 'photo_hash' ELSE 'photo_embedding' END AS source FROM orders)

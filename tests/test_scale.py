@@ -5,11 +5,13 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from obsmill import registry
-from obsmill.operators import graph, match
+from obsmill.operators import blocks, graph, match
 from obsmill.plans.surrogate import TABLES
 from tests.test_oracles import SF, rows
 
@@ -84,3 +86,31 @@ def test_links_have_the_closure_of_pairs_and_fewer_rows(spark):
     assert closure(pairs) == closure(links)
     big = match.hamming_links(h, 12).count()
     assert big < 600 < match.hamming_pairs(h, 12).count()
+
+
+def test_pairs_within_owners_in_blocks(spark):
+    one, many = (sorted(tuple(r) for r in match.cosines_within(photos(spark, 150), block).collect()) for block in (1024, 5))
+    assert one == many and len({(a, b) for a, b, _ in one}) == len(one) == sum(n * (n - 1) // 2 for n in (22, 22, 22, 21, 21, 21, 21))
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 200, 7])
+def test_matching_in_turns_is_greedy(monkeypatch, pairs):
+    monkeypatch.setattr(blocks, "SLICE", pairs)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(14, 16)).repeat(4, axis=0)[rng.permutation(56)]
+    h = [int("".join("01"[int(x > 0)] for x in r), 2) for r in v]
+    side = lambda s: pa.table({"a": [1] * 28, "b": [2] * 28, "id": range(s.start, s.stop), "v": list(v[s]), "h": h[s], "df": [k % 3 for k in range(28)]})
+    got = blocks.matched(0, 0.55)(side(slice(0, 28)), side(slice(28, 56))).to_pylist()[0]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    order = []
+    for i in range(28):
+        for j in range(28, 56):
+            c, d = round(float(unit[i] @ unit[j]) + 0.55, 4), (h[i] ^ h[j]).bit_count()
+            order.append((-1.0 if d <= 6 or c >= 0.92 else -0.5 if d <= 10 or c >= 0.85 else 0.0, -c, d, i, j))
+    left, right, taken = set(), set(), []
+    for s, _, _, i, j in sorted(order):
+        if s and i not in left and j not in right:
+            left.add(i), right.add(j), taken.append((-s, i))
+    assert (got["strong"], got["weak"]) == (sum(s == 1 for s, _ in taken), sum(s < 1 for s, _ in taken))
+    assert got["weighted"] == round(sum(s / max(1, i % 3) for s, i in taken), 4)
+    assert (got["best_cosine"], got["best_hamming"]) == (-min(o[1] for o in order), min(o[2] for o in order))
