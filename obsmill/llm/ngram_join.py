@@ -115,9 +115,9 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
     again = scratch.save(classes.where("c > 1").select("id", F.col("doc").alias("d")))
     n = again.count()
     many = join_split(filled, again, "id", "left") if n > BROADCAST_ROWS else filled.join(F.broadcast(again), "id", "left")
-    first = many.where("d IS NULL OR doc = d").select("id", "keys")
-    keys = scratch.save(first.where("size(keys) > 0")).select(F.explode("keys").alias("key"), "id")
-    edges = similar.links(keys, fetch, threshold, scratch)
+    first = many.where("d IS NULL OR doc = d").select("id", "keys", "n")
+    keys = scratch.save(first.where("size(keys) > 0")).select(F.explode("keys").alias("key"), "id", "n")
+    edges = similar.band_links(keys, fetch, threshold, scratch) if cut else similar.links(keys.select("key", "id"), fetch, threshold, scratch)
     found = components(edges, scratch)
     names = scratch.save(classes.join(found, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component")))
     name = names.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -14,6 +14,10 @@
    within the bound are opened, set by set, for exact comparison.
 
 Pairs within a group are never made, so a group of any size costs what its tokens cost.
+
+``band_links`` is the other way, for the sets of paragraphs: the sets under a band's signature meet in
+one task, which compares them in NumPy. Signatures that hold the same sets are one bucket. Buckets of
+more than ``MEET`` tokens are compared by stars first; what these leave open is dealt out in blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -44,6 +49,8 @@ RAREST, HOLDERS = 4, 32
 #: Rarest tokens that a query looks up in another group when it tries one set there. A pair of groups that
 #: this doesn't link is compared in full, so the bound is on work only.
 ASKED = 8
+#: Tokens of the sets that meet in one task, and of a block of a larger bucket, about.
+MEET = 1 << 20
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -123,6 +130,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> Data
     return both.where(_similar(p, "ta", "tb")).select("a", "b")
 
 
+def _stars(shared: DataFrame, sets: DataFrame, p: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of each key's sets with one of them, their components, and each set's weight (id, w). shared: (key, id, c)."""
+    # the set that shares most signatures with most others is the middle of its neighbourhood
+    central = shared.groupBy("id").agg(F.sum("c").alias("w"))
+    weighed = scratch.save(shared.select("key", "id").join(central, "id"))
+    stars = with_groups(weighed, "key", lead=F.max_by("id", F.struct("w", "id"))).where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
+    stars = scratch.save(_verify(stars.distinct(), sets, p, scratch))
+    return stars, scratch.save(components(stars, scratch)), central
+
+
 def links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that connect all sets that links connect; every edge is a verified link.
 
@@ -133,12 +150,7 @@ def links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], thresh
     ends = with_groups(signatures, "key", lo=F.min("id"), hi=F.max("id"), c=F.count("*")).where("lo <> hi")
     shared = scratch.save(ends.select("key", "id", "c"))
     sets = scratch.save(fetch(shared.select("id").distinct()))
-    # the set that shares most signatures with most others is the middle of its neighbourhood
-    central = shared.groupBy("id").agg(F.sum("c").alias("w"))
-    weighed = scratch.save(shared.select("key", "id").join(central, "id"))
-    stars = with_groups(weighed, "key", lead=F.max_by("id", F.struct("w", "id"))).where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
-    stars = scratch.save(_verify(stars.distinct(), sets, p, scratch))
-    groups = scratch.save(components(stars, scratch))
+    stars, groups, central = _stars(shared, sets, p, scratch)
     grouped = scratch.save(shared.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g")))
     open_ids = with_groups(grouped, "key", lo=F.min("g"), hi=F.max("g")).where("lo <> hi").select("id", "g").distinct()
     rest = scratch.save(sets.join(open_ids, "id").select("id", "g", "tokens"))
@@ -210,3 +222,124 @@ def _across_groups(rest: DataFrame, sets: DataFrame, centres: DataFrame, p: int,
     found = tried(largest)
     found = found.unionByName(tried(apart(found)))
     return found.unionByName(_verify(pairs_of(apart(found)), sets, p, scratch))
+
+
+# ---------------------------------------------------------------- links of sets that meet in a task
+
+
+def bucket_links(tokens: np.ndarray, to: np.ndarray, p: int) -> list[tuple[int, int]]:
+    """Links (numbers of sets) that connect all sets which links connect. Set i has tokens[to[i] : to[i + 1]], distinct."""
+    size = np.diff(to)
+    n = len(size)
+    if n == 2:
+        both = len(np.intersect1d(tokens[: to[1]], tokens[to[1] :], assume_unique=True))
+        return [(0, 1)] if (100 + p) * both >= p * len(tokens) else []
+    _, token, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    group, mark, found = np.arange(n), np.zeros(len(often), np.int32), []
+
+    def compare(x: int, others: np.ndarray) -> None:
+        others = others[(group[others] != group[x]) & (100 * np.minimum(size[others], size[x]) >= p * np.maximum(size[others], size[x]))]
+        if not len(others):
+            return
+        own, ends = token[to[x] : to[x + 1]], np.cumsum(size[others])
+        at = np.arange(ends[-1]) + np.repeat(to[others] - ends + size[others], size[others])
+        mark[own] = 1
+        both = np.add.reduceat(mark[token[at]], ends - size[others])
+        mark[own] = 0
+        like = others[(100 + p) * both.astype(np.int64) >= p * (size[others] + size[x])]
+        if len(like):
+            names, first = np.unique(group[like], return_index=True)
+            found.extend((x, int(y)) for y in like[first])
+            group[np.isin(group, names)] = group[x]
+
+    # a star around the set of the commonest tokens; the others ask by their rarest tokens, of which similar sets share one
+    lead = int((np.add.reduceat(often[token], to[:-1]) / size).argmax())
+    compare(lead, np.arange(n))
+    rest = group != group[lead]
+    if not rest.any():
+        return found
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    row = np.repeat(np.arange(n), size)
+    order = np.lexsort((rank[token], row))
+    asks = np.arange(len(token)) - np.repeat(to[:-1], size) < np.repeat(size - -(-p * size // 100) + 1, size)
+    asks &= often[token[order]] > 1
+    word, holder = rank[token[order][asks]], row[asks]
+    begin = np.searchsorted(holder, np.arange(n + 1))
+    by_word = np.argsort(word, kind="stable")
+    held, sets = word[by_word], holder[by_word]
+    low, high = np.searchsorted(held, word), np.searchsorted(held, word, side="right")
+    for x in np.flatnonzero(rest).tolist():
+        if a := [sets[low[k] : high[k]] for k in range(begin[x], begin[x + 1])]:
+            others = np.unique(np.concatenate(a))
+            compare(x, others[(others > x) | ~rest[others]])
+    return found
+
+
+def _meet(p: int):
+    """From rows (bucket, id, tokens), by bucket, to links (a, b)."""
+
+    def links_of(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        if sum(map(len, rows)) < 2:
+            return []
+        ids = np.concatenate([np.asarray(r.column(1)) for r in rows])
+        flat = [np.asarray(r.column(2).flatten()) for r in rows]
+        size = np.concatenate([np.diff(np.asarray(r.column(2).offsets)) for r in rows])
+        found = bucket_links(np.concatenate(flat), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), p)
+        return [(int(ids[x]), int(ids[y])) for x, y in found]
+
+    def run(batches):
+        rows, of = [], None
+        for batch in batches:
+            bucket, out = np.asarray(batch.column(0)), []
+            cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if i == j:
+                    continue
+                if of != bucket[i]:
+                    out += links_of(rows)
+                    rows, of = [], bucket[i]
+                rows.append(batch.slice(i, j - i))
+            yield _pairs(out)
+        yield _pairs(links_of(rows))
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def band_links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch, meet: int = MEET) -> DataFrame:
+    """As ``links``, of all sets that share a signature. signatures: (key, id, n: the set's size), read several times."""
+    p = percent(threshold)
+    h = F.xxhash64("id")
+    ends = with_groups(signatures, "key", lo=F.min("id"), hi=F.max("id"), c=F.count("*"), w=F.sum("n"), s=F.sum(F.shiftrightunsigned(h, 32)), t=F.sum(h.bitwiseAND(0xFFFFFFFF))).where("lo <> hi")
+    # a bucket is named by its members, so signatures that hold the same sets are one
+    shared = scratch.save(ends.select(F.xxhash64("s", "t").alias("key"), "id", "n", "c", "w").distinct())
+    sets = scratch.save(fetch(shared.select("id").distinct()))
+    met = shared.where(F.col("w") <= meet).select("key", "id")
+    large = shared.where(F.col("w") > meet)
+    stars = None
+    if not large.isEmpty():
+        large = scratch.save(large)
+        stars, groups, _ = _stars(large, sets, p, scratch)
+        met = met.unionByName(_blocks(large, groups, meet, scratch))
+    rows = met.join(sets, "id").select("key", "id", "tokens").repartition("key").sortWithinPartitions("key")
+    found = scratch.save(rows.mapInArrow(_meet(p), "a long, b long"))
+    return found if stars is None else found.unionByName(stars)
+
+
+def _blocks(large: DataFrame, groups: DataFrame, meet: int, scratch: Scratch) -> DataFrame:
+    """Buckets (key, id) in which all sets of a large bucket meet that are in different groups.
+
+    The sets outside a bucket's largest group, in blocks, meet one another and that group's blocks.
+    """
+    grouped = scratch.save(large.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("g")))
+    each = grouped.groupBy("key", "g").agg(F.sum("n").alias("w")).groupBy("key").agg(F.max_by("g", F.struct("w", "g")).alias("main"), F.max("w").alias("most"), F.sum("w").alias("w"), F.count("*").alias("c")).where("c > 1")
+    count = lambda c: F.ceil(c / F.lit(meet)).cast("int")
+    dealt = join_split(grouped, each.select("key", "main", count(F.col("most")).alias("p"), count(F.col("w") - F.col("most")).alias("q")), "key")
+    dealt = dealt.withColumn("inside", F.col("g") == F.col("main")).withColumn("k", F.pmod(F.xxhash64("id"), F.expr("if(inside, p, q)")).cast("int"))
+    to_main = F.expr("if(inside, transform(sequence(0, q - 1), x -> struct(0 AS kind, k AS i, x AS j)), transform(sequence(0, p - 1), x -> struct(0 AS kind, x AS i, k AS j)))")
+    to_rest = F.expr("if(inside OR q = 1, array(), transform(sequence(0, q - 1), x -> struct(1 AS kind, least(k, x) AS i, greatest(k, x) AS j)))")
+    return dealt.select("key", "id", F.explode(F.concat(to_main, to_rest)).alias("m")).select(F.xxhash64("key", "m.kind", "m.i", "m.j").alias("key"), "id")

@@ -8,7 +8,8 @@ or more is a repeat; its least place (document, position) keeps its copy.
 Passages inside longer paragraphs, or across them, are an addition, counted apart (column ``by``):
 windows of ``SIZE`` words begin at content-chosen words (of any ``STEP`` consecutive starts the one of
 least hash is chosen, so equal text chooses equal starts), and equal windows meet. Two texts with
-SIZE + STEP - 1 = 50 words in common always share a window. Shared windows on one diagonal are a run;
+SIZE + STEP - 1 = 50 words in common always share a window. A window that a text repeats is one row with
+all its places. Shared windows on one diagonal are a run;
 a run is extended word by word, left and right, as far as the keeper's words are the same, which is
 less than STEP words, as more would hold another window.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from obsmill.llm.common import U64, Scratch, checked_broadcast, hash_spans, hot_keys, join_split, mix, raw, signed, slices, spans, with_groups
+from obsmill.llm.common import U64, Scratch, checked_broadcast, hash_spans, hot_keys, join_split, mix, offsets_list, raw, signed, slices, spans, with_groups
 from obsmill.llm.ngram_join import join_documents
 
 SIZE, STEP = 26, 25
@@ -96,7 +97,7 @@ def paragraphs(b: pa.RecordBatch):
 
 
 def _cut(batches):
-    """The windows of each row: doc, sig, start word, key."""
+    """The windows of each row: doc, sig, key, start words (at). What a text repeats is one row."""
     for b in batches:
         data, at = raw(b.column(1))
         for i, j in slices(at, SLICE):
@@ -104,7 +105,94 @@ def _cut(batches):
             found, key = windows(hash_spans(low, start, end - start), first, SIZE, STEP)
             row = np.searchsorted(first, found, side="right") - 1
             sig = np.array([signature(data[at[k] : at[k + 1]]) for k in range(i, j)], np.int64)
-            yield pa.record_batch([b.column(0).take(pa.array(row + i)), pa.array(sig[row], pa.int32()), pa.array(found - first[row], pa.int32()), pa.array(signed(key))], ["doc", "sig", "at", "key"])
+            order, begin = _runs(found, key, row)
+            one = row[order][begin]
+            starts = offsets_list((found - first[row])[order].astype(np.int32), np.append(begin, len(order)))
+            yield pa.record_batch([b.column(0).take(pa.array(one + i)), pa.array(sig[one], pa.int32()), pa.array(signed(key[order][begin])), starts], ["doc", "sig", "key", "at"])
+
+
+def _runs(last: np.ndarray, *keys: np.ndarray, gap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, the last of them first, then by ``last``, and where in it other keys begin, or a step of more than gap."""
+    order = np.lexsort((last, *keys))
+    new = np.ones(len(order), bool)
+    for k in keys:
+        new[1:] &= k[order][1:] == k[order][:-1]
+    if gap is not None:
+        new[1:] &= np.diff(last[order]) <= gap
+    new[1:] = ~new[1:]
+    return order, np.flatnonzero(new)
+
+
+def _chosen(min_words: int):
+    """The lines and runs that may be in a passage of min_words, runs as long as they may get.
+
+    From rows by text (doc, sig, at, size, kdoc, ksig, kat): lines (their first word, words and keeper; no
+    ksig) and windows (where they begin, and where the keeper's does). To (doc, sig, starts, size, keeper,
+    removed, ksig, kat): the runs of a text that have one place in the keeper are one row.
+    """
+
+    def chosen(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        doc, sig, at, size, kdoc, ksig, kat = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns)
+        text = np.concatenate([[0], np.cumsum(_differ(doc) | _differ(sig))])
+        count = np.asarray(pa.compute.list_value_length(at))
+        row, start = np.repeat(np.arange(len(t)), count), np.asarray(at.flatten()).astype(np.int64)
+        line = np.asarray(ksig.is_null())
+        other = np.asarray(pa.compute.fill_null(kdoc.dictionary_encode().indices, -1)).astype(np.int64)
+        kat, ksig_of = (np.asarray(c.fill_null(0)).astype(np.int64) for c in (kat, ksig))
+        removed = np.asarray(pa.compute.not_equal(doc, kdoc))
+        # windows on one diagonal are a run
+        w = np.flatnonzero(~line[row])
+        shift = kat[row[w]] - start[w]
+        order, begin = _runs(start[w], shift, ksig_of[row[w]], other[row[w]], text[row[w]], gap=SIZE)
+        w = w[order]
+        ends = np.append(begin, len(w))[1:] - 1
+        lines = np.flatnonzero(line[row])
+        of = np.concatenate([row[lines], row[w[begin]]])
+        a = np.concatenate([start[lines], start[w[begin]]])
+        z = np.concatenate([start[lines] + np.asarray(size.fill_null(0)).astype(np.int64)[row[lines]], start[w[ends]] + SIZE])
+        k = np.concatenate([np.zeros(len(lines), np.int64), a[len(lines) :] + shift[order][begin]])
+        more = np.where(line[of], 0, STEP - 1)
+        # islands of what overlaps or touches, of each text the removed ones apart
+        island = 2 * text[of] + removed[of]
+        lo, hi = (island << 40) + a - more + STEP, (island << 40) + z + more + STEP
+        order = np.lexsort((hi, lo))
+        reach = np.maximum.accumulate(hi[order])
+        begin = np.flatnonzero(np.append(True, lo[order][1:] > reach[:-1]))
+        words = reach[np.append(begin, len(of))[1:] - 1] - lo[order][begin]
+        keep = order[np.repeat(words >= min_words, np.diff(np.append(begin, len(of))))]
+        of, a, z, k = of[keep], a[keep], z[keep], k[keep]
+        # a line stays a row of its own
+        own = np.where(line[of], of + 1, 0)
+        order, begin = _runs(a, z - a, k, ksig_of[of], other[of], own, text[of])
+        one = order[begin]
+        plain, take = line[of[one]], pa.array(of[one])
+        columns = [doc.take(take), sig.take(take), offsets_list(a[order].astype(np.int32), np.append(begin, len(order))), pa.array(z[one] - a[one], pa.int32()), kdoc.take(take), pa.array(removed[of[one]]), ksig.take(take), pa.array(k[one], pa.int32(), mask=plain)]
+        return pa.record_batch(columns, ["doc", "sig", "starts", "size", "keeper", "removed", "ksig", "kat"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            if not len(b):
+                continue
+            new = np.flatnonzero(_differ(b.column(0)) | _differ(b.column(1)))
+            last = int(new[-1]) + 1 if len(new) else 0  # the last text may go on
+            if held and (held[-1].column(0)[-1] != b.column(0)[0] or held[-1].column(1)[-1] != b.column(1)[0]):
+                yield chosen(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield chosen(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield chosen(pa.Table.from_batches(held))
+
+    return run
+
+
+def _differ(column: pa.Array) -> np.ndarray:
+    """Of each item but the first, whether it isn't the one before."""
+    return np.asarray(pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1)))
 
 
 def _contexts(batches):
@@ -154,7 +242,8 @@ class Marks:
         self.at = np.asarray(column.offsets)
         self.valid = np.asarray(column.is_valid())
         flat = column.values
-        self.sig, self.start, self.end = (np.asarray(flat.field(c)) for c in ("sig", "start", "end"))
+        self.sig, self.size = (np.asarray(flat.field(c)) for c in ("sig", "size"))
+        self.first, self.start = np.asarray(flat.field("starts").offsets), np.asarray(flat.field("starts").values)
         self.removed, self.keeper = np.asarray(flat.field("removed")), flat.field("keeper")
         self.run = np.asarray(flat.field("before").is_valid())
         self.sides = [[(np.asarray(flat.field(side).field(c).offsets), np.asarray(flat.field(side).field(c).values)) for c in ("h", "edge")] for side in ("before", "behind")]
@@ -165,6 +254,9 @@ class Marks:
         a, z = self.at[row], self.at[row + 1]
         return (a + np.flatnonzero(self.sig[a:z] == sig)).tolist()
 
+    def starts(self, mark: int) -> list[int]:
+        return self.start[self.first[mark] : self.first[mark + 1]].tolist()
+
     def beside(self, mark: int, side: int) -> tuple[np.ndarray, np.ndarray]:
         """A run's keeper's words on a side, and where they begin or end."""
         return tuple(values[at[mark] : at[mark + 1]] for at, values in self.sides[side])
@@ -173,7 +265,7 @@ class Marks:
 def _resolve(text: np.ndarray, marks: Marks, row: int, min_words: int) -> tuple[list[tuple], list[tuple]]:
     """Passages of a text, (start, end, keeper, removed, by), and what keepers' runs are, (keeper, start, end).
 
-    A mark is a paragraph (words start..end) or a run with its keeper's words before and behind.
+    A mark is a paragraph or a run (of size words from each of its starts on) with its keeper's words before and behind.
     """
     some = marks.of(row, signature(text))
     if not some:
@@ -183,13 +275,16 @@ def _resolve(text: np.ndarray, marks: Marks, row: int, min_words: int) -> tuple[
     h = signed(hash_spans(low, start, end - start)) if marks.run[some].any() else None
     found, kept = [], []
     for m in some:
-        a, z, keeper, runs = int(marks.start[m]), int(marks.end[m]), marks.keeper[m].as_py(), None
+        size, keeper, removed = int(marks.size[m]), marks.keeper[m].as_py(), bool(marks.removed[m])
         if marks.run[m]:
             (before, begins), (behind, ends) = marks.beside(m, 0), marks.beside(m, 1)
-            left, right = _common(h[max(0, a - STEP) : a][::-1], before[::-1]), _common(h[z : z + STEP], behind)
-            a, z = a - left, z + right
-            runs = (keeper, int(begins[len(before) - left]), int(ends[right]))
-        found.append((a, z, keeper, bool(marks.removed[m]), "paragraph" if runs is None else "passage", runs))
+        for a in marks.starts(m):
+            z, runs = a + size, None
+            if marks.run[m]:
+                left, right = _common(h[max(0, a - STEP) : a][::-1], before[::-1]), _common(h[z : z + STEP], behind)
+                a, z = a - left, z + right
+                runs = (keeper, int(begins[len(before) - left]), int(ends[right]))
+            found.append((a, z, keeper, removed, "paragraph" if runs is None else "passage", runs))
     out = []
     for removed in (False, True):
         rest = sorted((x for x in found if x[3] is removed), key=lambda x: x[:3])
@@ -214,39 +309,29 @@ def _marks(docs: DataFrame, threshold: float, min_words: int, scratch: Scratch)
     met = with_groups(clusters, "c", last=F.max("place.doc")).where("least.doc <> last")
     lines = met.select("place.doc", "place.sig", "place.start", "place.end", F.col("least.doc").alias("keeper"))
 
-    pieces = scratch.save(docs.mapInArrow(_cut, f"doc {kind}, sig int, at int, key long"))
-    shared = with_groups(pieces, "key", least=F.min(F.struct("doc", "sig", "at")), last=F.max("doc")).where("least.doc <> last AND doc <> least.doc")
-    by_run = W.partitionBy("doc", "sig", "kdoc", "ksig", "shift").orderBy("at")
-    copies = shared.select("doc", "sig", "at", F.col("least.doc").alias("kdoc"), F.col("least.sig").alias("ksig"), (F.col("least.at") - F.col("at")).alias("shift"))
-    new = F.coalesce(F.col("at") > F.lag("at").over(by_run) + SIZE, F.lit(True)).cast("int")
-    numbered = copies.withColumn("new", new).withColumn("run", F.sum("new").over(by_run))
-    runs = numbered.groupBy("doc", "sig", "kdoc", "ksig", "shift", "run").agg(F.min("at").alias("start"), (F.max("at") + SIZE).alias("end")).drop("run")
-
-    # which passages may be long enough, runs as long as they may get
-    alone = [F.lit(None).cast("int").alias(c) for c in ("ksig", "shift")]
-    flat = lines.select("doc", "sig", "start", "end", F.col("start").alias("lo"), F.col("end").alias("hi"), "keeper", (F.col("doc") != F.col("keeper")).alias("removed"), *alone)
-    long = runs.select("doc", "sig", "start", "end", (F.col("start") - (STEP - 1)).alias("lo"), (F.col("end") + (STEP - 1)).alias("hi"), F.col("kdoc").alias("keeper"), F.lit(True).alias("removed"), "ksig", "shift")
-    by_text = W.partitionBy("doc", "sig", "removed").orderBy("lo", "hi")
-    far = F.coalesce(F.col("lo") > F.max("hi").over(by_text.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    marked = flat.unionByName(long).withColumn("far", far).withColumn("island", F.sum("far").over(by_text.rowsBetween(W.unboundedPreceding, 0)))
-    island = W.partitionBy("doc", "sig", "removed", "island")
-    marked = marked.withColumn("words", F.max("hi").over(island) - F.min("lo").over(island)).where(F.col("words") >= min_words)
-    wanted = scratch.save(marked.select("doc", "sig", "start", "end", "keeper", "removed", "ksig", "shift"))
+    pieces = scratch.save(docs.mapInArrow(_cut, f"doc {kind}, sig int, key long, at array<int>"))
+    shared = with_groups(pieces, "key", least=F.min(F.struct("doc", "sig", F.col("at")[0].alias("at"))), last=F.max("doc")).where("least.doc <> last AND doc <> least.doc")
+    copies = shared.select("doc", "sig", "at", F.lit(None).cast("int").alias("size"), F.col("least.doc").alias("kdoc"), F.col("least.sig").alias("ksig"), F.col("least.at").alias("kat"))
+    none = F.lit(None).cast("int")
+    flat = lines.select("doc", "sig", F.array("start").alias("at"), F.expr("`end` - start").alias("size"), F.col("keeper").alias("kdoc"), none.alias("ksig"), none.alias("kat"))
+    by_text = flat.unionByName(copies).repartition("doc").sortWithinPartitions("doc", "sig")
+    wanted = scratch.save(by_text.mapInArrow(_chosen(min_words), f"doc {kind}, sig int, starts array<int>, size int, keeper {kind}, removed boolean, ksig int, kat int"))
 
     # the keepers' words beside the runs
-    some = wanted.where("shift IS NOT NULL")
-    sides = [some.select(F.col("keeper").alias("kdoc"), "ksig", (F.col(c) + F.col("shift")).alias("at"), F.lit(k).alias("side")) for k, c in enumerate(("start", "end"))]
+    some = wanted.where("ksig IS NOT NULL")
+    ends = (F.col("kat"), F.col("kat") + F.col("size"))
+    sides = [some.select(F.col("keeper").alias("kdoc"), "ksig", c.alias("at"), F.lit(k).alias("side")) for k, c in enumerate(ends)]
     asked = scratch.save(sides[0].union(sides[1]).distinct())
     by_keeper = asked.groupBy(F.col("kdoc").alias("doc")).agg(F.collect_list(F.struct(F.col("ksig").alias("sig"), "at", "side")).alias("asked"))
     texts = docs.join(checked_broadcast(by_keeper, asked.count()), "doc").select("doc", "text", "asked")
     beside = scratch.save(texts.mapInArrow(_contexts, f"kdoc {kind}, ksig int, at int, side int, h array<long>, edge array<int>").dropDuplicates(["kdoc", "ksig", "at", "side"]))
-    place = lambda c, side: F.xxhash64("keeper", "ksig", F.col(c) + F.col("shift"), F.lit(side))
-    known = scratch.save(some.withColumn("k0", place("start", 0)).withColumn("k1", place("end", 1)))
+    place = lambda side: F.xxhash64("keeper", "ksig", ends[side], F.lit(side))
+    known = scratch.save(some.withColumn("k0", place(0)).withColumn("k1", place(1)))
     of = lambda name, k: beside.where(F.col("side") == k).select(F.xxhash64("kdoc", "ksig", "at", "side").alias(f"k{k}"), F.struct("h", "edge").alias(name))
     told = join_split(join_split(known, of("before", 0), "k0"), of("behind", 1), "k1", hot=hot_keys(known, "k1"))
     none = F.lit(None).cast("struct<h: array<bigint>, edge: array<int>>")
-    plain = wanted.where("shift IS NULL").withColumn("before", none).withColumn("behind", none)
-    mark = ["doc", "sig", "start", "end", "keeper", "removed", "before", "behind"]
+    plain = wanted.where("ksig IS NULL").withColumn("before", none).withColumn("behind", none)
+    mark = ["doc", "sig", "starts", "size", "keeper", "removed", "before", "behind"]
     return told.select(*mark).unionByName(plain.select(*mark)).groupBy("doc").agg(F.collect_list(F.struct(*mark[1:])).alias("marks"))
 
 

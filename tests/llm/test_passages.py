@@ -161,3 +161,42 @@ def test_paragraph_places():
     b = pa.record_batch([pa.array([5, 6, 7]), pa.array(["a b\n\nc\n", None, "d e f"])], ["doc", "text"])
     found = [(ids.to_pylist(), column.to_pylist()) for ids, column in substring_dedup.paragraphs(b)]
     assert [(x["doc"], x["start"], x["end"]) for x in found[0][0]] == [(5, 0, 2), (5, 2, 3), (7, 0, 3)] and [t.strip() for t in found[0][1]] == ["a b", "c", "d e f"]
+
+
+def test_sets_that_meet_in_a_task_are_linked_as_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = [np.arange(k * 1000, k * 1000 + 40) for k in range(3)]
+    sets = [np.union1d(b[rng.random(40) > rng.random() * 0.25], rng.choice(10**9, 3)) for b in base for _ in range(25)]
+    want = [(x, y) for y in range(len(sets)) for x in range(y) if 180 * len(np.intersect1d(sets[x], sets[y])) >= 80 * (len(sets[x]) + len(sets[y]))]
+    up = components_of(len(sets), want)
+    assert 1 < len(set(up)) < len(sets)
+    found = similar.bucket_links(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 80)
+    assert {tuple(sorted(x)) for x in found} <= set(want) and components_of(len(sets), found) == up
+
+    table = spark.createDataFrame([(k, [int(t) for t in s]) for k, s in enumerate(sets)], "id long, tokens array<long>")
+    keys = table.select((F.col("id") / 25).cast("long").alias("key"), "id", F.size("tokens").alias("n"))
+    for meet in (similar.MEET, 200):  # as one bucket each, and by stars and blocks
+        edges = similar.band_links(keys, lambda ids: table.join(ids, "id"), 0.8, common.Scratch(spark), meet).collect()
+        assert components_of(len(sets), [(r["a"], r["b"]) for r in edges]) == up
+
+
+def components_of(n: int, links) -> list[int]:
+    up = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    return up
+
+
+def test_what_a_text_repeats_is_one_row(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(w for k in range(30) for w in [*words, f"g{k:02}"])), (3, " ".join([*(f"x{k}" for k in range(9)), *words[:55]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = docs.mapInArrow(substring_dedup._cut, "doc_id long, sig int, key long, at array<int>").collect()
+    assert len({(r["doc_id"], r["key"]) for r in pieces}) == len(pieces) and any(len(r["at"]) == 30 for r in pieces)
+    marks = substring_dedup._marks(substring_dedup._source(docs, "doc_id", "text"), 0.8, 50, common.Scratch(spark)).collect()
+    runs = [m for r in marks for m in r["marks"] if m["before"] is not None]
+    assert any(len(m["starts"]) == 30 for m in runs) and len(runs) < 30
+    found = {(r["doc_id"], r["start"], r["end"]) for r in substring_dedup.repeated_spans(docs).where("removed").collect()}
+    one = len(" ".join(words))
+    assert found == {(2, k * (one + 5), k * (one + 5) + one) for k in range(30)} | {(3, 27, 27 + len(" ".join(words[:55])))}
