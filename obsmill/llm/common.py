@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,27 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; a task that ends gives what it has freed back to the system.
+
+    A worker stays for other tasks, of later stages too, and allocators would keep a task's peak for it.
+    """
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return held
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 

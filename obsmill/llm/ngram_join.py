@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsmill.llm import similar
-from obsmill.llm.common import BROADCAST_ROWS, U64, Scratch, checked_broadcast, distinct_by_row, join_split, mix, offsets_list, raw, shingles, signed, slices, sums_by_row, words
+from obsmill.llm.common import BROADCAST_ROWS, U64, Scratch, checked_broadcast, distinct_by_row, join_split, mix, offsets_list, raw, shingles, signed, slices, sums_by_row, tidy, words
 from obsmill.llm.components import components
 
 
@@ -96,7 +96,7 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
                 for _, tokens, to in _sets(column, k):
                     yield pa.record_batch([pa.array(signed(_classes(tokens, to))), offsets_list(signed(tokens), to)], ["id", "tokens"])
 
-    described = scratch.save(source.mapInArrow(describe, f"doc {kind}, n long, id long, keys array<long>"))
+    described = scratch.save(source.mapInArrow(tidy(describe), f"doc {kind}, n long, id long, keys array<long>"))
     filled = described.where("n > 0")
     classes = scratch.save(filled.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("c")))
 
@@ -109,7 +109,7 @@ def join_documents(docs: DataFrame, *, k: int = 3, threshold: float = 0.9, id_co
         else:
             by_doc = wanted.select(F.col("doc").alias("d"), F.lit(None).cast("array<string>").alias("places")).distinct()
         some = source.join(checked_broadcast(by_doc, n), F.expr("doc <=> d")).select("doc", "text", "places")
-        return some.mapInArrow(fetched, "id long, tokens array<long>").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        return some.mapInArrow(tidy(fetched), "id long, tokens array<long>").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
     # one row of each class brings the signatures; a class of one row is that row
     again = scratch.save(classes.where("c > 1").select("id", F.col("doc").alias("d")))

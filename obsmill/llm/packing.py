@@ -11,7 +11,7 @@ Ids come from the ``tokenizers`` library. Text is cut into units after each word
 space that follows it, and between an ASCII letter or digit and an ASCII character of another kind;
 no match of the byte-level pattern crosses such a place, so equal units have equal ids and each
 task asks the library once for each distinct unit. Texts with white space outside ASCII go to the
-library whole.
+library whole. A task holds the ids of some texts and of the next window, not of a whole batch.
 
 A null or empty text is the closing id alone. Bytes that aren't UTF-8 count as U+FFFD. Repeated rows
 are packed each on its own, equal lengths in the order of the rows; other columns aren't looked
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from obsmill.llm.common import SLICE_BYTES, hash_spans, raw, slices, texts
+from obsmill.llm.common import hash_spans, raw, slices, texts, tidy
 
 #: Pieces that are put in order at a time.
 WINDOW = 2048
 #: Units whose ids a task remembers; then it begins anew.
 MEMORY = 1_500_000
+#: Bytes of text that are cut into units at a time, and units that the library gets at a time.
+SLICE, LEARN = 500_000, 4096
 #: Bytes by kind: 0 ASCII white space, 1 letter, 2 digit, 3 other ASCII, 4 part of another character.
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -72,37 +75,38 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # of each known unit, by rising hash, where its ids are in the pool, and how many
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def whole(self, some: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.int32) for x in self.tok.encode_batch_fast(some, add_special_tokens=False)]
 
-    def learn(self, keys: list[int], some: list[str]) -> None:
-        found = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)
-        ids, size = np.asarray(found.ids, np.int32), np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(some))
-        k, n = len(self.known), len(keys)
-        while k + n > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.known.update(zip(keys, range(k, k + n), strict=True))
-        self.start[k : k + n], self.size[k : k + n] = self.used + np.cumsum(size) - size, size
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
+    def learn(self, keys: np.ndarray, some: list[str]) -> None:
+        """keys: rising, of units that aren't known."""
+        start, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for i in range(0, len(some), LEARN):
+            part = some[i : i + LEARN]
+            found = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, n = np.asarray(found.ids, np.int32), np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part))
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.pool[self.used : self.used + len(ids)] = ids
+            start[i : i + LEARN], size[i : i + LEARN] = self.used + np.cumsum(n) - n, n
+            self.used += len(ids)
+        at = np.searchsorted(self.known, keys)
+        self.known, self.start, self.size = np.insert(self.known, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids, in order, made some texts at a time."""
         data, at = raw(column)
-        out: list[np.ndarray] = []
-        for i, j in slices(at, SLICE_BYTES):
+        for i, j in slices(at, SLICE):
             if _odd(data[at[i] : at[j]].tobytes()):
                 for k in range(i, j):
                     odd = _odd(data[at[k] : at[k + 1]].tobytes())
-                    out += self.whole(texts(column.slice(k, 1))) if odd else self._slice(data, at, k, k + 1)
+                    yield from self.whole(texts(column.slice(k, 1))) if odd else self._slice(data, at, k, k + 1)
             else:
-                out += self._slice(data, at, i, j)
-        return out
+                yield from self._slice(data, at, i, j)
 
     def _slice(self, data: np.ndarray, at: np.ndarray, i: int, j: int) -> list[np.ndarray]:
         low = np.zeros(at[j] - at[i] + 16, np.uint8)
@@ -118,13 +122,14 @@ class Units:
         keys, which = np.unique(hash_spans(low, begin, stop - begin), return_inverse=True)
         if len(self.known) > self.memory:
             self.clear()
-        known, slow = self.known, keys.tolist()
-        fresh = [k for k, key in enumerate(slow) if key not in known]
-        if fresh:
+        at_known = np.searchsorted(self.known, keys)
+        fresh = np.flatnonzero(self.known.take(at_known, mode="clip") != keys) if len(self.known) else np.arange(len(keys))
+        if len(fresh):
             at_unit = np.empty(len(keys), np.int64)
             at_unit[which] = np.arange(len(which))
-            self.learn([slow[k] for k in fresh], [low[begin[u] : stop[u]].tobytes().decode("utf-8", "replace") for u in at_unit[fresh]])
-        number = np.fromiter((known[x] for x in slow), np.int64, len(slow))[which]
+            self.learn(keys[fresh], [low[begin[u] : stop[u]].tobytes().decode("utf-8", "replace") for u in at_unit[fresh]])
+            at_known = np.searchsorted(self.known, keys)
+        number = at_known[which]
         size = self.size[number]
         to = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.arange(to[-1]) - np.repeat(to[:-1] - self.start[number], size)]
@@ -167,6 +172,20 @@ def pieces(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first), *((a, length) for a in range(first, n, length))]
 
 
+def _windows(texts: Iterable[np.ndarray], length: int, end_id: int) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+    """WINDOW pieces at a time, in order of placing: the text's number, the piece's, its start and ids."""
+    todo: list[tuple[int, int, int, np.ndarray]] = []
+    for row, x in enumerate(texts):
+        x = np.append(x, np.int32(end_id))
+        for k, (start, size) in enumerate(pieces(len(x), length)):
+            todo.append((row, k, start, x[start : start + size]))
+            if len(todo) == WINDOW:
+                yield sorted(todo, key=lambda x: (-len(x[3]), x[0], x[1]))
+                todo = []
+    if todo:
+        yield sorted(todo, key=lambda x: (-len(x[3]), x[0], x[1]))
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, *, length: int = 2048, open_bins: int = 1024, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
     kind = docs.schema[id_col].dataType
@@ -176,13 +195,11 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, *, length: int = 2048,
         units, packer = Units(tokenizer_file), Packer(length, open_bins)
         base = TaskContext.get().partitionId() << 36
         for b in batches:
-            ids = [np.append(x, np.int32(end_id)) for x in units.encode(b.column(1))]
-            todo = [(size, row, k, start) for row, x in enumerate(ids) for k, (start, size) in enumerate(pieces(len(x), length))]
-            for some in (sorted(todo[x : x + WINDOW], key=lambda x: (-x[0], x[1], x[2])) for x in range(0, len(todo), WINDOW)):
-                cuts = [ids[row][start : start + size] for size, row, _, start in some]
-                places = [packer.place(size) for size, *_ in some]
+            for some in _windows(units.encode(b.column(1)), length, end_id):
+                cuts = [x[3] for x in some]
+                places = [packer.place(len(x)) for x in cuts]
                 columns = [
-                    b.column(0).take(pa.array([x[1] for x in some], pa.int64())), pa.array([x[2] for x in some], pa.int32()), pa.array([x[3] for x in some], pa.int64()), pa.array([x[0] for x in some], pa.int64()),
+                    b.column(0).take(pa.array([x[0] for x in some], pa.int64())), pa.array([x[1] for x in some], pa.int32()), pa.array([x[2] for x in some], pa.int64()), pa.array([len(x) for x in cuts], pa.int64()),
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cuts], pa.int64()), pa.array([base + x for x, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64()),
                 ]
                 names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -191,4 +208,4 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, *, length: int = 2048,
                     names.append("ids")
                 yield pa.record_batch(columns, names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from obsmill.llm.common import parts
+from obsmill.llm.common import parts, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 #: The patterns that must be found, as given.
@@ -222,7 +222,7 @@ def scan_documents(docs: DataFrame, *, min_cost: float = MIN_COST, vocabulary: s
                 base = [hashlib.sha256(_line([s for s in r if s[0] != "guess"]).encode()).hexdigest() for r in rows]
                 yield pa.record_batch([b.column(0).slice(i, len(some)), *counts, pa.array(base, pa.string()), pa.array([_line(r) for r in rows], pa.string())], list("iabcdes"))
 
-    out = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(run, f"i {kind.simpleString()}, a long, b long, c long, d long, e string, s string")
+    out = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(tidy(run), f"i {kind.simpleString()}, a long, b long, c long, d long, e string, s string")
     return out.toDF(id_col, "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")
 
 
@@ -233,16 +233,13 @@ def redact_documents(docs: DataFrame, *, min_cost: float = MIN_COST, vocabulary:
     def run(batches):
         words = ranked(vocabulary)
         for b in batches:
-            old, new, size = b.column(where[0]), [], []
+            old = b.column(where[0])
             for i, some in parts(old):
-                for k, x in enumerate(some, i):
-                    y = redact(x, scan(x, min_cost, words)) if old[k].is_valid else None
-                    new.append(y)
-                    size.append(None if y is None else len(y))
-            columns = list(b.columns)
-            columns[where[0]] = pa.array(new, old.type)
-            for k in where[1:]:
-                columns[k] = pa.array(size, columns[k].type)
-            yield pa.record_batch(columns, names=b.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+                new = [redact(x, scan(x, min_cost, words)) if old[k].is_valid else None for k, x in enumerate(some, i)]
+                columns = list(b.slice(i, len(some)).columns)
+                columns[where[0]] = pa.array(new, old.type)
+                for k in where[1:]:
+                    columns[k] = pa.array([None if x is None else len(x) for x in new], columns[k].type)
+                yield pa.record_batch(columns, names=b.schema.names)
+
+    return docs.mapInArrow(tidy(run), docs.schema)

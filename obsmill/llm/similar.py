@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from obsmill.llm.common import U64, Scratch, hot_keys, join_split, mix, with_groups
+from obsmill.llm.common import U64, Scratch, hot_keys, join_split, mix, tidy, with_groups
 from obsmill.llm.components import components
 
 #: Least similarity for signatures by parts; below, parts are too small to tell sets apart.
@@ -326,7 +326,7 @@ def band_links(signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], t
         stars, groups, _ = _stars(large, sets, p, scratch)
         met = met.unionByName(_blocks(large, groups, meet, scratch))
     rows = met.join(sets, "id").select("key", "id", "tokens").repartition("key").sortWithinPartitions("key")
-    found = scratch.save(rows.mapInArrow(_meet(p), "a long, b long"))
+    found = scratch.save(rows.mapInArrow(tidy(_meet(p)), "a long, b long"))
     return found if stars is None else found.unionByName(stars)
 
 

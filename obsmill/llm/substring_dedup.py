@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from obsmill.llm.common import U64, Scratch, checked_broadcast, hash_spans, hot_keys, join_split, mix, offsets_list, raw, signed, slices, spans, with_groups
+from obsmill.llm.common import U64, Scratch, checked_broadcast, hash_spans, hot_keys, join_split, mix, offsets_list, raw, signed, slices, spans, tidy, with_groups
 from obsmill.llm.ngram_join import join_documents
 
 SIZE, STEP = 26, 25
@@ -309,13 +309,13 @@ def _marks(docs: DataFrame, threshold: float, min_words: int, scratch: Scratch)
     met = with_groups(clusters, "c", last=F.max("place.doc")).where("least.doc <> last")
     lines = met.select("place.doc", "place.sig", "place.start", "place.end", F.col("least.doc").alias("keeper"))
 
-    pieces = scratch.save(docs.mapInArrow(_cut, f"doc {kind}, sig int, key long, at array<int>"))
+    pieces = scratch.save(docs.mapInArrow(tidy(_cut), f"doc {kind}, sig int, key long, at array<int>"))
     shared = with_groups(pieces, "key", least=F.min(F.struct("doc", "sig", F.col("at")[0].alias("at"))), last=F.max("doc")).where("least.doc <> last AND doc <> least.doc")
     copies = shared.select("doc", "sig", "at", F.lit(None).cast("int").alias("size"), F.col("least.doc").alias("kdoc"), F.col("least.sig").alias("ksig"), F.col("least.at").alias("kat"))
     none = F.lit(None).cast("int")
     flat = lines.select("doc", "sig", F.array("start").alias("at"), F.expr("`end` - start").alias("size"), F.col("keeper").alias("kdoc"), none.alias("ksig"), none.alias("kat"))
     by_text = flat.unionByName(copies).repartition("doc").sortWithinPartitions("doc", "sig")
-    wanted = scratch.save(by_text.mapInArrow(_chosen(min_words), f"doc {kind}, sig int, starts array<int>, size int, keeper {kind}, removed boolean, ksig int, kat int"))
+    wanted = scratch.save(by_text.mapInArrow(tidy(_chosen(min_words)), f"doc {kind}, sig int, starts array<int>, size int, keeper {kind}, removed boolean, ksig int, kat int"))
 
     # the keepers' words beside the runs
     some = wanted.where("ksig IS NOT NULL")
@@ -324,7 +324,7 @@ def _marks(docs: DataFrame, threshold: float, min_words: int, scratch: Scratch)
     asked = scratch.save(sides[0].union(sides[1]).distinct())
     by_keeper = asked.groupBy(F.col("kdoc").alias("doc")).agg(F.collect_list(F.struct(F.col("ksig").alias("sig"), "at", "side")).alias("asked"))
     texts = docs.join(checked_broadcast(by_keeper, asked.count()), "doc").select("doc", "text", "asked")
-    beside = scratch.save(texts.mapInArrow(_contexts, f"kdoc {kind}, ksig int, at int, side int, h array<long>, edge array<int>").dropDuplicates(["kdoc", "ksig", "at", "side"]))
+    beside = scratch.save(texts.mapInArrow(tidy(_contexts), f"kdoc {kind}, ksig int, at int, side int, h array<long>, edge array<int>").dropDuplicates(["kdoc", "ksig", "at", "side"]))
     place = lambda side: F.xxhash64("keeper", "ksig", ends[side], F.lit(side))
     known = scratch.save(some.withColumn("k0", place(0)).withColumn("k1", place(1)))
     of = lambda name, k: beside.where(F.col("side") == k).select(F.xxhash64("kdoc", "ksig", "at", "side").alias(f"k{k}"), F.struct("h", "edge").alias(name))
@@ -362,7 +362,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, threshold: fl
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
     marked = source.join(_marks(source, threshold, min_words, scratch), "doc").select("doc", "text", "marks")
-    found = scratch.save(marked.mapInArrow(run, f"doc {kind}, start int, `end` int, keeper {kind}, removed boolean, by string"))
+    found = scratch.save(marked.mapInArrow(tidy(run), f"doc {kind}, start int, `end` int, keeper {kind}, removed boolean, by string"))
     # many copies tell the same of their keeper
     kept = found.where("NOT removed").groupBy("doc", "start", "end", "keeper", "by").agg(F.lit(1).alias("one")).drop("one")
     by_doc = W.partitionBy("doc").orderBy("start", "end")
@@ -416,4 +416,4 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, threshold: fl
             yield pa.record_batch(columns, names=fields).filter(pa.array(keep, pa.bool_()))
 
     joined = plain.join(marks, plain[f"c{id_at}"] == marks["doc"], "left").drop("doc")
-    return joined.mapInArrow(run, plain.schema).toDF(*names)
+    return joined.mapInArrow(tidy(run), plain.schema).toDF(*names)

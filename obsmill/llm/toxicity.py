@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsmill.llm.common import U64, hash_spans, mix, offsets_list, raw, slices, spans
+from obsmill.llm.common import U64, hash_spans, mix, offsets_list, raw, slices, spans, tidy
 
 #: Labelled rows of each value that the model is fitted on at most, those of the least hashed ids.
 SAMPLE = 5000
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_col:
                 yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), offsets_list(bucket, to)], ["id", "grade", "f"])
 
     # two times the sample at most; a row of an id counts once
-    found = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, grade int, f array<int>").dropDuplicates(["id"]).toArrow()
+    found = rows.mapInArrow(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, grade int, f array<int>").dropDuplicates(["id"]).toArrow()
     label = found.column("grade").to_numpy()
     if not len(label) or label.min() > 0 or label.max() == 0:
         return None
@@ -182,7 +182,7 @@ def score_documents(docs: DataFrame, model: Model | None, *, id_col: str = "doc_
                 p = scorer(data, at, i, j)
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1), pa.int32()), pa.array(1 - p[:, 0] >= cut)], ["id", "severity", "grade", "toxic"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), f"id {kind}, severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model | None, *, text_col: str = "text", cut: float = 0.4) -> DataFrame:
@@ -197,4 +197,4 @@ def keep_clean(docs: DataFrame, model: Model | None, *, text_col: str = "text",
                 keep = 1 - scorer(data, at, i, j)[:, 0] < cut
                 yield b.slice(i, j - i).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
